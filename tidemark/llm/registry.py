@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import packing
+from tidemark.llm import langid, packing, simhash
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (packing.op9_sum_of_squares_packing,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    simhash.op4_simhash_pigeonhole,
+    packing.op9_sum_of_squares_packing,
+    langid.op10_byte_cnn_language,
+)}
 
 ORACLES: dict[str, str] = {}
