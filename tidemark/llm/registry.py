@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import langid, packing, secrets, simhash
+from tidemark.llm import langid, mixing, packing, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     simhash.op4_simhash_pigeonhole,
+    mixing.op5_hypergeometric_mix,
     secrets.op7_blob_ledger_secrets,
     packing.op9_sum_of_squares_packing,
     langid.op10_byte_cnn_language,
