@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import langid, mixing, packing, secrets, simhash
+from tidemark.llm import langid, mixing, packing, quotes, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     simhash.op4_simhash_pigeonhole,
     mixing.op5_hypergeometric_mix,
     secrets.op7_blob_ledger_secrets,
+    quotes.op8_quotation_links,
     packing.op9_sum_of_squares_packing,
     langid.op10_byte_cnn_language,
 )}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_quotation_links": quotes.OP8_SQL}
