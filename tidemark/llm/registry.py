@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import gif, langid, mixing, packing, quotes, secrets, simhash
+from tidemark.llm import gif, langid, mixing, packing, pii, quotes, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    pii.op3_bilstm_crf_pii,
     simhash.op4_simhash_pigeonhole,
     mixing.op5_hypergeometric_mix,
     gif.op6_gif_media,
