@@ -7,8 +7,14 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import tidemark
+
+# Functions go to the workers as a whole, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(tidemark)
+
 #: Rows of one Arrow batch handed to Python: bounds a worker's memory when texts are long.
 BATCH_ROWS = 1000
 

@@ -22,11 +22,11 @@ later start (the mirrored array) has the same string. That is decided in three s
    with more than HOT kinds is not gathered: its strings are dealt out by their hashes and
    counted there, which gives the same answer.
 
-Hashes of segments and strings have 128 bits and stand for their bytes.
+Hashes stand for bytes: 64 bits of the anchor with 64 of the segment, 128 of a string.
 
 Null texts are empty. Texts shorter than ``length`` keep all bytes. Repeated rows of one
 doc_id are one document if their texts are equal (their copies then repeat each other);
-doc_id must name one text otherwise. An empty table gives no rows; other columns are not
+doc_id must name one text otherwise; null ones may name several. An empty table gives no rows; other columns are not
 read.
 """
 
@@ -37,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, map_arrow, table
+from tidemark.llm.common import checkpoint, map_arrow, partitions, table
 
 LENGTH = 200
 ANCHOR = 64
@@ -49,6 +49,8 @@ HOT = 512
 #: Bytes that are hashed, and that are sorted, at once: bounds a worker's memory.
 CHUNK = 1 << 20
 SORTED = 1 << 19
+#: From here down, numbers made of their texts stand for null doc_ids inside.
+NO_ID = -(1 << 62)
 
 
 
@@ -164,13 +166,13 @@ def _window_min(x: np.ndarray, width: int) -> np.ndarray:
     return have
 
 
-def segments(data: np.ndarray, ends: np.ndarray, rolls: tuple[Rolling, Rolling], length: int, anchor: int):
-    """Segments of concatenated texts: (first start, starts, anchor, hash, hash)."""
+def segments(data: np.ndarray, ends: np.ndarray, rolls: tuple[Rolling, Rolling], length: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """Segments of concatenated texts: (first start, starts, anchor, hash)."""
     n = len(data) - length + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, *[np.zeros(0, np.uint64)] * 3
-    sums, more = rolls[0].sums(data), rolls[1].sums(data)
+        return none, none, none.view(np.uint64), none.view(np.uint64)
+    sums = rolls[0].sums(data)
     k = len(data) - anchor + 1
     grams = _mixed((sums[anchor:] - sums[:k]) * rolls[0].back[:k])
     low = np.uint64((1 << 21) - 1)
@@ -184,10 +186,10 @@ def segments(data: np.ndarray, ends: np.ndarray, rolls: tuple[Rolling, Rolling],
     fresh[1:] = (where[1:] != where[:-1]) | ~inside[:-1]
     first = np.flatnonzero(fresh & inside)
     if not len(first):
-        return none, none, *[np.zeros(0, np.uint64)] * 3
+        return none, none, none.view(np.uint64), none.view(np.uint64)
     stop = np.flatnonzero(inside & np.concatenate([fresh[1:] | ~inside[1:], [True]]))
     end = stop + length
-    return first, stop - first + 1, grams[where[first]], rolls[0].of(sums, first, end), rolls[1].of(more, first, end)
+    return first, stop - first + 1, grams[where[first]], rolls[1].of(rolls[1].sums(data), first, end)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], limit: int = CHUNK) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
@@ -213,20 +215,20 @@ def _texts(batches: Iterator[pa.RecordBatch], limit: int = CHUNK) -> Iterator[tu
         yield ids, np.array(begins), np.concatenate(held), np.cumsum([len(p) for p in held])
 
 
-_ROWS = pa.schema([("anchor", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("starts", pa.int32())])
+_ROWS = pa.schema([("anchor", pa.int64()), ("kind", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("starts", pa.int32())])
 
 
 def segment_rows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolls = (Rolling(1), Rolling(2))
         for ids, begins, data, ends in _texts(batches):
-            first, starts, key, h1, h2 = segments(data, ends, rolls, length, anchor)
+            first, starts, key, kind = segments(data, ends, rolls, length, anchor)
             own = np.searchsorted(ends, first, side="right")
             at = first - np.concatenate([[0], ends[:-1]])[own] + begins[own]
             who = pa.array(ids, pa.int64()).take(pa.array(own))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), who, pa.array(at), pa.array(starts.astype(np.int32))], schema=_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(kind.view(np.int64)), who, pa.array(at), pa.array(starts.astype(np.int32))], schema=_ROWS)
 
-    return map_arrow(docs, run, "anchor long, h1 long, h2 long, doc_id long, at long, starts int")
+    return map_arrow(docs, run, "anchor long, kind long, doc_id long, at long, starts int")
 
 
 # --- suffix order of the representatives -----------------------------------
@@ -314,8 +316,9 @@ def _sorted_marks(cut: DataFrame, length: int, keep: str) -> DataFrame:
                 if r[0] != anchor and size > SORTED:
                     yield settle(held)
                     held, size = [], 0
-                held.append(r)
-                size += len(r[5])
+                if not held or held[-1][:3] != r[:3]:  # else a repeated row
+                    held.append(r)
+                    size += len(r[5])
                 anchor = r[0]
         if held:
             yield settle(held)
@@ -337,7 +340,7 @@ def _hot_marks(cut: DataFrame, length: int, keep: str) -> DataFrame:
 
     strings = map_arrow(cut.select("doc_id", "at", "n", "bytes"), run, "h1 long, h2 long, doc_id long, at long, n long")
     place = F.struct("doc_id", "at")
-    known = strings.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1")
+    known = strings.groupBy("h1", "h2").agg(F.max(place).alias("last"), F.min(place).alias("first")).where("first != last").drop("last")
     met = strings.join(known, ["h1", "h2"])
     met = met.where(place != F.col("first")) if keep == "first" else met.where("n = 1")
     return met.select("doc_id", "at", F.lit(1).alias("starts"))
@@ -351,23 +354,34 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", anchor: i
     """
     if length > LENGTH or anchor > length:
         raise ValueError(f"length is at most {LENGTH} and anchor at most length")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("bytes"))
-    rows = checkpoint(segment_rows(texts, length, anchor))
-    kinds = rows.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at", "starts")).alias("first"))
-    per_anchor = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds > 1 or most > 1")
-    kinds = checkpoint(kinds.join(per_anchor.drop("most"), "anchor"))
-    copies = rows.join(kinds.where("n > 1").select("anchor", "h1", "h2", "first"), ["anchor", "h1", "h2"])
+    # A doc_id that is never null: joins on it then add no filter, and all of them read one shuffle.
+    raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    key = F.coalesce(F.col("doc_id").cast("long"), NO_ID - F.pmod(F.xxhash64(raw), F.lit(-NO_ID)))
+    texts = docs.select(key.alias("doc_id"), raw.alias("bytes"))
+    rows = segment_rows(texts, length, anchor)
+    known = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    rows = checkpoint(rows.join(known, "anchor"))
+    place = F.struct("doc_id", "at", "starts")
+    kinds = rows.groupBy("anchor", "kind").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    kinds = checkpoint(kinds.join(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor"))
+    copies = rows.join(kinds.where("n > 1").select("anchor", "kind", "first"), ["anchor", "kind"])
     if keep == "first":
         copies = copies.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
     marks = copies.select("doc_id", "at", "starts")
-    unsure = kinds.where("kinds > 1").select("first.doc_id", F.struct("anchor", "first.at", "first.starts", "n", "kinds").alias("s"))
-    asked = unsure.groupBy("doc_id").agg(F.collect_list("s").alias("asked"))
-    cut = texts.join(asked, "doc_id").select("doc_id", F.explode(F.transform("asked", lambda s: F.struct(s["anchor"].alias("anchor"), s["at"].alias("at"), s["starts"].alias("starts"), s["n"].alias("n"), s["kinds"].alias("kinds"), F.substring("bytes", (s["at"] + 1).cast("int"), (s["starts"] + (length - 1)).cast("int")).alias("bytes")))).alias("c")).select("doc_id", "c.*")
-    cut = checkpoint(cut)
-    small = cut.where(F.col("kinds") <= hot).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "at")
-    marks = marks.unionByName(_sorted_marks(small, length, keep)).unionByName(_hot_marks(cut.where(F.col("kinds") > hot), length, keep))
+    dealt = texts.repartition(partitions(docs.sparkSession), "doc_id")
+
+    def cut(which: Column) -> DataFrame:
+        """Representatives with their bytes."""
+        asked = kinds.where(which).groupBy("first.doc_id").agg(F.collect_list(F.struct("anchor", "first.at", "first.starts", "n")).alias("asked"))
+        own = F.transform("asked", lambda s: F.struct(s["anchor"].alias("anchor"), s["at"].alias("at"), s["starts"].alias("starts"), s["n"].alias("n"), F.substring("bytes", (s["at"] + 1).cast("int"), (s["starts"] + (length - 1)).cast("int")).alias("bytes")))
+        return dealt.join(asked, "doc_id").select("doc_id", F.explode(own).alias("c")).select("doc_id", "c.*")
+
+    small = cut((F.col("kinds") > 1) & (F.col("kinds") <= hot)).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "at")
+    marks = marks.unionByName(_sorted_marks(small, length, keep))
+    if not kinds.where(F.col("kinds") > hot).isEmpty():
+        marks = marks.unionByName(_hot_marks(cut(F.col("kinds") > hot), length, keep))
     found = marks.groupBy("doc_id").agg(F.collect_list(F.struct("at", "starts")).alias("runs"))
-    return texts.join(found, "doc_id", "left")
+    return dealt.join(found, "doc_id", "left").withColumn("doc_id", F.when(F.col("doc_id") > NO_ID, F.col("doc_id")))
 
 
 def removed(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> DataFrame:
