@@ -209,10 +209,14 @@ def fit(docs: DataFrame, label: str = "lang", per_language: int = PER_LANGUAGE)
     return train([t for t, _ in pairs], [label for _, label in pairs]) if pairs else None
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score for every row."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").rlike(r"\p{L}"), F.col("text").cast("string")).alias("text"))
-    types = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, lang_pred, score for every row, after the columns named in ``keep``.
+
+    What is kept travels with its row, so that repeated and null ids need no join.
+    """
+    own = [F.col(c) for c in keep] if keep else [F.col("doc_id").cast("long").alias("doc_id")]
+    text = F.when(F.col("text").rlike(r"\p{L}"), F.col("text").cast("string"))
+    rows = docs.select(F.struct(*own).alias("row"), text.alias("read"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,9 +225,10 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             if model is not None and some:
                 for (i, _), said in zip(some, predict(model, [t for _, t in some]), strict=True):
                     found[i] = said
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], schema=types)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["row", "lang_pred", "score"])
 
-    return map_arrow(texts, run, "doc_id long, lang_pred string, score double")
+    kind = rows.schema["row"].dataType.simpleString()
+    return map_arrow(rows, run, f"row {kind}, lang_pred string, score double").select("row.*", "lang_pred", "score")
 
 
 def op10_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:

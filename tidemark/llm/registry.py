@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import gif, langid, mixing, packing, pii, quotes, repeats, secrets, simhash
+from tidemark.llm import fingerprints, gif, langid, mixing, packing, pii, quotes, repeats, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     repeats.op1_lpf_repeats,
+    fingerprints.op2_invertible_sketch,
     pii.op3_bilstm_crf_pii,
     simhash.op4_simhash_pigeonhole,
     mixing.op5_hypergeometric_mix,
