@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 import tidemark.functions.shipping  # noqa: F401
 
@@ -41,7 +42,7 @@ def inverse(lon1, lat1, lon2, lat2):
         return b * big * (sigma - ds)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def geodesic_length(xs: pd.Series, ys: pd.Series) -> pd.Series:
     """Metres along the vertices given by arrays of longitudes and latitudes; null for null."""
     out = []

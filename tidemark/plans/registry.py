@@ -5,6 +5,456 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tidemark.functions import columns as C
+from tidemark.functions.geodesic import geodesic_length
+from tidemark.operators import catalog, graph, nearest, raster, update
+from tidemark.plans.fixtures import load, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+D0 = 30
+
+
+class Tables:
+    """Fixtures of one call by name."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return load(self.spark, self.sf_dir, name)
+
+
+def query(sql: str | None = None, *names: str, recursive: bool = False):
+    """Registers a function of the tables, with the SQL it equals."""
+
+    def register(fn: Callable[[Tables], DataFrame]):
+        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        if sql:
+            ORACLES[fn.__name__] = oracle(sql, *names, recursive=recursive) if names else sql
+        return fn
+
+    return register
+
+
+# --- nearest neighbours ----------------------------------------------------
+
+_NEAREST = """n AS (SELECT p.fid, n.fid AS node, (p.x-n.x)*(p.x-n.x)+(p.y-n.y)*(p.y-n.y) AS d2,
+  ROW_NUMBER() OVER (PARTITION BY p.fid ORDER BY (p.x-n.x)*(p.x-n.x)+(p.y-n.y)*(p.y-n.y), n.fid) AS k FROM fx_points p, fx_nodes n)"""
+_EVCS = f"""{_NEAREST}, e AS (SELECT node, COUNT(*) AS evcs_num, string_agg(fid, ',' ORDER BY fid) AS evcs_fids FROM n WHERE k=1 GROUP BY node)"""
+
+
+@query(f"WITH {_NEAREST} SELECT fid, node, d2 FROM n WHERE k=1", "fx_points", "fx_nodes")
+def nearest_node(t: Tables) -> DataFrame:
+    return nearest.nearest(t.fx_points, t.fx_nodes)
+
+
+def _evcs(t: Tables) -> DataFrame:
+    return nearest.count_and_list(nearest.nearest(t.fx_points, t.fx_nodes)).withColumnRenamed("node", "fid")
+
+
+@query(f"WITH {_EVCS} SELECT x.fid, evcs_num, evcs_fids FROM fx_nodes x LEFT JOIN e ON e.node=x.fid", "fx_points", "fx_nodes")
+def evcs_per_node(t: Tables) -> DataFrame:
+    nodes = update.add_fields(t.fx_nodes.select("fid"), {"evcs_num": ("bigint", None), "evcs_fids": ("array<bigint>", None)})
+    linked = update.fill_null(nodes, _evcs(t), "fid", ["evcs_num", "evcs_fids"], "evcs_num")
+    return linked.select("fid", "evcs_num", F.array_join("evcs_fids", ",").alias("evcs_fids"))
+
+
+# --- reach and access ------------------------------------------------------
+
+
+def _reach_sql(where: str = "") -> str:
+    return f"""p(src,node,d) AS (SELECT fid, fid, CAST(0 AS BIGINT) FROM fx_nodes
+  UNION SELECT p.src, e.v, p.d+e.length FROM p JOIN fx_edges e ON e.u=p.node WHERE p.d+e.length<={D0} {where}),
+ reach AS (SELECT src, node, MIN(d) AS d FROM p GROUP BY 1,2)"""
+
+
+@query(f"WITH {_reach_sql()} SELECT src, node, d FROM reach", "fx_nodes", "fx_edges", recursive=True)
+def bounded_reach(t: Tables) -> DataFrame:
+    return graph.reach(t.fx_nodes, t.fx_edges, D0)
+
+
+@query(f"WITH {_reach_sql()} SELECT src, node, d FROM reach", "fx_nodes", "fx_edges", recursive=True)
+def bounded_reach_joined(t: Tables) -> DataFrame:
+    return graph.reach(t.fx_nodes, t.fx_edges, D0, local_edges=0)
+
+
+def _access_sql(after: bool, tag: str = "") -> str:
+    hit = "(SELECT COUNT(*) FROM n JOIN fx_affected f USING (fid) WHERE k=1 AND n.node=e.node AND f.value<>0)" if after else "0"
+    return f"""{_EVCS}, {_reach_sql("AND e.affectDays=0" if after else "")},
+ s AS (SELECT node AS fid, evcs_num-{hit} AS num FROM e),
+ q AS (SELECT src, node, exp(-0.5*pow(CAST(d AS DOUBLE)/{D0}.0,2)) AS f FROM reach JOIN s ON s.fid=src),
+ tot AS (SELECT src, SUM(pop*f) AS total FROM q JOIN fx_nodes x ON x.fid=q.node WHERE pop<>0 GROUP BY 1),
+ r AS (SELECT s.fid, CASE WHEN total>0 THEN num/total ELSE 0 END AS r FROM s LEFT JOIN tot ON tot.src=s.fid),
+ acc AS (SELECT q.node AS fid, SUM(r*f) AS a FROM q JOIN r ON r.fid=q.src GROUP BY 1),
+ res AS (SELECT x.fid, ROUND(r.r*1e6,3) AS r, ROUND(CASE WHEN pop<>0 THEN coalesce(a,0) END*1e6,3) AS a
+         FROM fx_nodes x LEFT JOIN r ON r.fid=x.fid LEFT JOIN acc ON acc.fid=x.fid)"""
+
+
+def _access(t: Tables, after: bool) -> DataFrame:
+    nodes = t.fx_nodes.join(_evcs(t), "fid", "left")
+    edges = t.fx_edges
+    if after:
+        nodes, edges = graph.flooded(nodes, edges, graph.hit_points(t.fx_affected))
+    found = graph.access(nodes, edges, D0)
+    return found.select("fid", F.round(F.col("r") * 1e6, 3).alias("r"), F.round(F.col("a") * 1e6, 3).alias("a"))
+
+
+_ACCESS = ("fx_points", "fx_nodes", "fx_edges", "fx_affected")
+
+
+@query(f"WITH {_access_sql(False)} SELECT fid, r, a FROM res", *_ACCESS, recursive=True)
+def accessibility_2sfca(t: Tables) -> DataFrame:
+    return _access(t, False)
+
+
+@query(f"WITH {_access_sql(True)} SELECT fid, r, a FROM res", *_ACCESS, recursive=True)
+def accessibility_after_flood(t: Tables) -> DataFrame:
+    return _access(t, True)
+
+
+@query(
+    f"""SELECT b.fid, b.a AS before, a.a AS after, ROUND(a.a-b.a,3) AS change
+ FROM ({ORACLES["accessibility_2sfca"]}) b JOIN ({ORACLES["accessibility_after_flood"]}) a USING (fid)"""
+)
+def accessibility_delta(t: Tables) -> DataFrame:
+    before, after = _access(t, False), _access(t, True)
+    both = before.select("fid", F.col("a").alias("before")).join(after.select("fid", F.col("a").alias("after")), "fid")
+    return both.select("fid", "before", "after", F.round(F.col("after") - F.col("before"), 3).alias("change"))
+
+
+@query(
+    """SELECT fid, CAST(COUNT(*) AS BIGINT) AS links, CAST(SUM(CASE WHEN affectDays=0 THEN 1 ELSE 0 END) AS BIGINT) AS open
+       FROM (SELECT u AS fid, affectDays FROM fx_edges) GROUP BY fid""",
+    "fx_edges",
+)
+def open_links(t: Tables) -> DataFrame:
+    return t.fx_edges.groupBy(F.col("u").alias("fid")).agg(F.count("*").alias("links"), F.sum((F.col("affectDays") == 0).cast("long")).alias("open"))
+
+
+# --- rasters ---------------------------------------------------------------
+
+
+@query("SELECT event, r, c, CASE WHEN perm<>0 THEN 0 ELSE days END AS days FROM fx_flood WHERE perm=0 AND days<>0", "fx_flood")
+def flood_mask(t: Tables) -> DataFrame:
+    masked = raster.mask(t.fx_flood, "days", "perm")
+    return masked.where(raster.valid(F.col("days"))).select("event", "r", "c", "days")
+
+
+@query("SELECT r, c, CAST(SUM(days*(1-perm)) AS BIGINT) AS days FROM fx_flood GROUP BY r, c", "fx_flood")
+def flood_sum_days(t: Tables) -> DataFrame:
+    return raster.sum_cells(raster.mask(t.fx_flood, "days", "perm"), ["r", "c"], "days")
+
+
+@query(
+    """, c AS (SELECT DISTINCT 'N' || n_nationkey AS country FROM nation UNION SELECT 'none'),
+ a AS (SELECT country, SUM(date_diff('day', strptime(split_part(name,'_',4),'%Y%m%d'), strptime(left(split_part(name,'_',6),8),'%Y%m%d'))+1) AS days, COUNT(*) AS times FROM fx_archives GROUP BY 1)
+SELECT country, CAST(coalesce(days,0) AS BIGINT) AS days, CAST(coalesce(times,0) AS BIGINT) AS times FROM c LEFT JOIN a USING (country)""",
+    "fx_archives",
+)
+def flood_period(t: Tables) -> DataFrame:
+    names = t.nation.select(F.concat(F.lit("N"), "n_nationkey").alias("country")).unionByName(t.spark.createDataFrame([("none",)], "country string"))
+    return catalog.periods(names.distinct(), t.fx_archives)
+
+
+_CLEAN = "CASE WHEN val=-99999 THEN 0 ELSE val END"
+
+
+@query(f"SELECT r, c, CAST(SUM({_CLEAN}) AS BIGINT) AS val FROM fx_pop GROUP BY r, c", "fx_pop")
+def population_merge(t: Tables) -> DataFrame:
+    return raster.sum_cells(t.fx_pop, ["r", "c"], "val", raster.NODATA)
+
+
+@query(f"SELECT gender, r, c, CAST(SUM({_CLEAN}) AS BIGINT) AS val FROM fx_pop GROUP BY gender, r, c", "fx_pop")
+def population_by_gender(t: Tables) -> DataFrame:
+    return raster.sum_cells(t.fx_pop, ["gender", "r", "c"], "val", raster.NODATA)
+
+
+_GROUP = "CASE WHEN age BETWEEN 0 AND 20 THEN 'children' WHEN age BETWEEN 25 AND 40 THEN 'young' WHEN age BETWEEN 45 AND 55 THEN 'middle' WHEN age BETWEEN 60 AND 80 THEN 'elderly' END"
+
+
+@query(f"SELECT {_GROUP} AS age_group, r, c, CAST(SUM({_CLEAN}) AS BIGINT) AS val FROM fx_pop WHERE {_GROUP} IS NOT NULL GROUP BY 1, 2, 3", "fx_pop")
+def population_by_age_group(t: Tables) -> DataFrame:
+    cells = t.fx_pop.withColumn("age_group", raster.age_group(F.col("age"))).where("age_group is not null")
+    return raster.sum_cells(cells, ["age_group", "r", "c"], "val", raster.NODATA)
+
+
+@query(
+    f"""SELECT r, c, gender, age, CASE WHEN GROUPING(gender)=1 AND GROUPING(age)=1 THEN 'all' WHEN GROUPING(age)=1 THEN 'gender' ELSE 'age' END AS by,
+ CAST(SUM({_CLEAN}) AS BIGINT) AS val FROM fx_pop GROUP BY GROUPING SETS ((r,c),(r,c,gender),(r,c,age))""",
+    "fx_pop",
+)
+def population_grouping_sets(t: Tables) -> DataFrame:
+    by = F.when(F.col("level") == 3, "all").when(F.col("level") == 1, "gender").otherwise("age")
+    return raster.grouped_sums(t.fx_pop).select("r", "c", "gender", "age", by.alias("by"), "val")
+
+
+@query(
+    """, s AS (SELECT r, c, SUM(days*(1-perm)) AS days FROM fx_flood GROUP BY 1, 2)
+SELECT fid, CAST(coalesce(days,0) AS BIGINT) AS days FROM fx_points LEFT JOIN s ON r=y AND c=x""",
+    "fx_points",
+    "fx_flood",
+)
+def pixel_sample(t: Tables) -> DataFrame:
+    return raster.sample(t.fx_points, flood_sum_days(t), "days")
+
+
+def _pixels(t: Tables) -> DataFrame:
+    """Cells of the population grid as points, with centres at whole numbers."""
+    return t.fx_pop.select("r", "c").distinct().select((F.col("r") * 101 + F.col("c")).alias("fid"), F.col("c").alias("x"), F.col("r").alias("y"))
+
+
+_PIXEL = """, px AS (SELECT DISTINCT r, c FROM fx_pop), m AS (SELECT px.r, px.c, n.fid, (px.c-n.x)*(px.c-n.x)+(px.r-n.y)*(px.r-n.y) AS d2,
+  ROW_NUMBER() OVER (PARTITION BY px.r, px.c ORDER BY (px.c-n.x)*(px.c-n.x)+(px.r-n.y)*(px.r-n.y), n.fid) AS k FROM px, fx_nodes n),
+ tot AS (SELECT m.fid, SUM(val) AS total FROM fx_pop p JOIN m ON m.r=p.r AND m.c=p.c AND k=1 {where} WHERE val<>-99999 GROUP BY 1)
+SELECT x.fid, CAST(coalesce(total,0) AS BIGINT) AS total FROM fx_nodes x LEFT JOIN tot USING (fid)"""
+
+
+def _pixel_sums(t: Tables, limit: float | None) -> DataFrame:
+    met = nearest.nearest(_pixels(t), t.fx_nodes, limit)
+    cells = met.select(F.floor(F.col("fid") / 101).alias("r"), (F.col("fid") % 101).alias("c"), "node")
+    return raster.pixel_sums(t.fx_pop, cells, t.fx_nodes, "val")
+
+
+@query(_PIXEL.format(where=""), "fx_pop", "fx_nodes")
+def pixel_sum_per_node(t: Tables) -> DataFrame:
+    return _pixel_sums(t, None)
+
+
+@query(_PIXEL.format(where="AND d2<=9"), "fx_pop", "fx_nodes")
+def pixel_sum_within_distance(t: Tables) -> DataFrame:
+    return _pixel_sums(t, 3.0)
+
+
+@query("SELECT event, r, c, days FROM fx_flood WHERE r BETWEEN 10 AND 20 AND c BETWEEN 30 AND 45", "fx_flood")
+def raster_clip(t: Tables) -> DataFrame:
+    return raster.clip(t.fx_flood.select("event", "r", "c", "days"), (30.0, 10.0, 45.5, 20.5))
+
+
+# --- rasters under lines ---------------------------------------------------
+
+_LINES = """, g AS (SELECT fid, unnest(range(0, CAST(greatest(abs(c1-c0), abs(r1-r0)) AS BIGINT)+1)) AS i, c0, r0, sign(c1-c0) AS sc, sign(r1-r0) AS sr FROM fx_lines),
+ lc AS (SELECT DISTINCT fid, r0+i*sr AS r, c0+i*sc AS c FROM g),
+ mk AS (SELECT event, r, c, days*(1-perm) AS days FROM fx_flood)"""
+
+
+@query(_LINES + " SELECT l.fid, CAST(coalesce(MAX(days),0) AS INT) AS days FROM fx_lines l LEFT JOIN lc USING (fid) LEFT JOIN mk USING (r, c) GROUP BY l.fid", "fx_lines", "fx_flood")
+def road_max_flood(t: Tables) -> DataFrame:
+    return raster.zonal_max(t.fx_lines, raster.mask(t.fx_flood, "days", "perm"), "days")
+
+
+@query(_LINES + " SELECT fid, event, MAX(days) AS days FROM lc JOIN mk USING (r, c) GROUP BY fid, event", "fx_lines", "fx_flood")
+def road_max_flood_by_event(t: Tables) -> DataFrame:
+    return raster.zonal_max(t.fx_lines, raster.mask(t.fx_flood, "days", "perm").drop("perm"), "days", ["event"])
+
+
+@query(_LINES + ", e AS (SELECT fid, event, MAX(days) AS days FROM lc JOIN mk USING (r, c) WHERE days<>0 GROUP BY fid, event) SELECT fid, arg_max(event, days*100+event) AS event, MAX(days) AS days FROM e GROUP BY fid", "fx_lines", "fx_flood")
+def road_worst_event(t: Tables) -> DataFrame:
+    return raster.worst(road_max_flood_by_event(t), "fid", "event", "days")
+
+
+@query("SELECT event FROM fx_flood GROUP BY event HAVING MAX(days*(1-perm))>0", "fx_flood")
+def nonzero_events(t: Tables) -> DataFrame:
+    return raster.mask(t.fx_flood, "days", "perm").groupBy("event").agg(F.max("days").alias("top")).where("top > 0").select("event")
+
+
+@query("SELECT event, list_sort(list(DISTINCT days)) AS days FROM fx_flood WHERE perm=0 GROUP BY event", "fx_flood")
+def distinct_cell_values(t: Tables) -> DataFrame:
+    return t.fx_flood.where("perm = 0").groupBy("event").agg(F.sort_array(F.collect_set("days")).alias("days"))
+
+
+# --- updates ---------------------------------------------------------------
+
+_TARGET = "tg AS (SELECT fid, CASE WHEN fid%3=0 THEN NULL ELSE pop END AS pop FROM fx_nodes), up AS (SELECT fid, fid*10 AS pop FROM fx_nodes WHERE fid%2=0)"
+
+
+def _target(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return t.fx_nodes.select("fid", F.when(F.col("fid") % 3 != 0, F.col("pop")).alias("pop")), t.fx_nodes.where("fid % 2 = 0").select("fid", (F.col("fid") * 10).alias("pop"))
+
+
+@query(f"WITH {_TARGET} SELECT tg.fid, CASE WHEN up.fid IS NOT NULL THEN up.pop ELSE tg.pop END AS pop FROM tg LEFT JOIN up USING (fid)", "fx_nodes")
+def edge_update_from(t: Tables) -> DataFrame:
+    return update.update_from(*_target(t), "fid", ["pop"])
+
+
+@query(f"WITH {_TARGET} SELECT tg.fid, up.pop FROM tg LEFT JOIN up USING (fid)", "fx_nodes")
+def update_overwrite_null(t: Tables) -> DataFrame:
+    return update.overwrite(*_target(t), "fid", ["pop"])
+
+
+@query(f"WITH {_TARGET} SELECT tg.fid, CASE WHEN tg.pop IS NULL THEN up.pop ELSE tg.pop END AS pop FROM tg LEFT JOIN up USING (fid)", "fx_nodes")
+def update_fill_null(t: Tables) -> DataFrame:
+    return update.fill_null(*_target(t), "fid", ["pop"], "pop")
+
+
+@query(f"WITH {_TARGET} SELECT tg.fid, coalesce(tg.pop, up.pop) AS pop FROM tg LEFT JOIN up USING (fid)", "fx_nodes")
+def update_fill_null_in(t: Tables) -> DataFrame:
+    return update.fill_null_in(*_target(t), "fid", "pop")
+
+
+@query("SELECT fid, x, y, pop, CAST(7 AS BIGINT) AS rank, CAST(NULL AS DOUBLE) AS score FROM fx_nodes", "fx_nodes")
+def add_fields_default(t: Tables) -> DataFrame:
+    return update.add_fields(t.fx_nodes, {"pop": ("bigint", 0), "rank": ("bigint", 7), "score": ("double", None)})
+
+
+@query("SELECT fid, pop FROM fx_nodes", "fx_nodes")
+def drop_fields(t: Tables) -> DataFrame:
+    return update.drop_fields(t.fx_nodes, "x", "y", "not_there")
+
+
+# --- names, files, listings ------------------------------------------------
+
+
+@query("SELECT name FROM fx_archives WHERE name NOT IN (SELECT name FROM fx_archives WHERE country IN ('N1','N2'))", "fx_archives")
+def anti_processed(t: Tables) -> DataFrame:
+    a = t.fx_archives
+    return catalog.todo(a.select("name"), a.where(F.col("country").isin("N1", "N2")), "name")
+
+
+@query("SELECT 'N' || (n_nationkey+5) AS country FROM nation EXCEPT SELECT country FROM fx_archives", "fx_archives")
+def missing_countries(t: Tables) -> DataFrame:
+    return t.nation.select(F.concat(F.lit("N"), (F.col("n_nationkey") + 5).cast("string")).alias("country")).exceptAll(t.fx_archives.select("country")).distinct()
+
+
+@query("SELECT name FROM fx_archives WHERE right(name,4)='.zip' AND contains(name,'_199') AND contains(name,'DFO')", "fx_archives")
+def file_filter(t: Tables) -> DataFrame:
+    return catalog.matching(t.fx_archives, ("zip", "tif"), ("_199", "DFO")).select("name")
+
+
+@query("""SELECT DISTINCT country, g.gender, CAST(a.age AS INT) AS age, lower(country) || '_' || g.gender || '_' || a.age || '_2020_constrained_UNadj.tif' AS name
+ FROM fx_archives, (VALUES ('f'),('m')) g(gender), (SELECT 0 AS age UNION SELECT 1 UNION SELECT unnest(range(5,81,5))) a""", "fx_archives")
+def name_generator(t: Tables) -> DataFrame:
+    return catalog.population_names(t.fx_archives.select("country").distinct())
+
+
+@query("""SELECT name, s AS start, least(s+1000, size)-1 AS "end" FROM (SELECT CAST(p_partkey AS STRING) AS name, CAST(p_size*100 AS BIGINT) AS size, unnest(range(0, CAST(p_size*100 AS BIGINT), 1000)) AS s FROM part)""")
+def range_split(t: Tables) -> DataFrame:
+    sizes = t.part.select(F.col("p_partkey").cast("string").alias("name"), (F.col("p_size") * 100).cast("long").alias("size"))
+    return catalog.byte_ranges(sizes, 1000)
+
+
+@query("SELECT country, 'https://host/' || replace(name, '.zip', '') || '.zip' AS url FROM fx_archives", "fx_archives")
+def catalog_json(t: Tables) -> DataFrame:
+    path = F.concat(F.lit("a/b/c/"), F.regexp_replace("name", r"\.zip$", ""))
+    bodies = t.fx_archives.groupBy("country").agg(F.to_json(F.collect_list(path)).alias("body"))
+    return catalog.archive_urls(bodies, "https://host/")
+
+
+@query("""SELECT page_id, n-1 AS n, h AS href FROM (SELECT page_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS n FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1) AS hs FROM pages))""")
+def page_links(t: Tables) -> DataFrame:
+    return catalog.page_links(t.pages, "page_id").withColumn("n", F.col("n").cast("long"))
+
+
+@query("SELECT name AS member, MIN(country) AS country FROM fx_archives GROUP BY name", "fx_archives")
+def dedup_events(t: Tables) -> DataFrame:
+    return catalog.dedup_events(t.fx_archives.withColumnRenamed("name", "member"))
+
+
+@query("SELECT o_custkey AS country, CAST(SUM(o_totalprice) AS DOUBLE)>1000 AS processed FROM orders GROUP BY 1")
+def processed_flag(t: Tables) -> DataFrame:
+    return t.orders.groupBy(F.col("o_custkey").alias("country")).agg((F.sum("o_totalprice") > 1000).alias("processed"))
+
+
+# --- lines and topology ----------------------------------------------------
+
+
+@query("""SELECT fid, regexp_extract(other_tags, '"oneway"=>"([^"]*)"', 1)='yes' AS oneway, nullif(regexp_extract(other_tags, '"lanes"=>"([^"]*)"', 1), '') AS lanes FROM fx_lines""", "fx_lines")
+def osm_tag_extract(t: Tables) -> DataFrame:
+    return graph.with_tags(t.fx_lines).select("fid", "oneway", "lanes")
+
+
+HIGHWAYS = ("motorway", "trunk", "primary", "secondary", "motorway_link", "trunk_link", "primary_link", "secondary_link")
+
+
+@query("SELECT fid, highway FROM fx_lines WHERE highway IN ('motorway','trunk','primary','secondary','motorway_link','trunk_link','primary_link','secondary_link')", "fx_lines")
+def highway_filter(t: Tables) -> DataFrame:
+    return t.fx_lines.where(F.col("highway").isin(*HIGHWAYS)).select("fid", "highway")
+
+
+@query("SELECT fid, highway FROM fx_lines WHERE regexp_matches(highway, '^motorway$|^trunk$')", "fx_lines")
+def highway_regex(t: Tables) -> DataFrame:
+    return t.fx_lines.where(F.col("highway").rlike("^motorway$|^trunk$")).select("fid", "highway")
+
+
+def _lines(t: Tables) -> DataFrame:
+    """Each line with a middle vertex, as coordinates."""
+    p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    mid = p((F.col("c0") + F.col("c1")) / 2, (F.col("r0") + F.col("r1")) / 2)
+    coords = F.array(p(F.col("c0"), F.col("r0")), mid, p(F.col("c1"), F.col("r1")))
+    return graph.with_tags(t.fx_lines).withColumn("coords", coords).select("fid", "coords", "oneway")
+
+
+_BOTH = """, ow AS (SELECT *, regexp_extract(other_tags, '"oneway"=>"([^"]*)"', 1)='yes' AS oneway FROM fx_lines),
+ dir AS (SELECT fid, CAST(c0 AS DOUBLE) AS ux, CAST(r0 AS DOUBLE) AS uy, CAST(c1 AS DOUBLE) AS vx, CAST(r1 AS DOUBLE) AS vy, false AS reversed FROM ow
+  UNION ALL SELECT fid, c1, r1, c0, r0, true FROM ow WHERE NOT oneway)"""
+
+
+@query(_BOTH + " SELECT * FROM dir", "fx_lines")
+def line_explode_reverse(t: Tables) -> DataFrame:
+    _, edges = graph.topology(_lines(t))
+    return edges.select(F.col("line").alias("fid"), F.col("coords")[0]["x"].alias("ux"), F.col("coords")[0]["y"].alias("uy"), F.element_at("coords", -1)["x"].alias("vx"), F.element_at("coords", -1)["y"].alias("vy"), "reversed")
+
+
+@query(
+    _BOTH
+    + """, nd AS (SELECT x, y, ROW_NUMBER() OVER (ORDER BY x, y) AS fid FROM (SELECT ux AS x, uy AS y FROM dir UNION SELECT vx, vy FROM dir))
+SELECT d.fid AS line, a.fid AS u, b.fid AS v, d.reversed, CAST(ROW_NUMBER() OVER (PARTITION BY a.fid, b.fid ORDER BY d.fid, d.reversed)-1 AS INT) AS key
+FROM dir d JOIN nd a ON a.x=ux AND a.y=uy JOIN nd b ON b.x=vx AND b.y=vy""",
+    "fx_lines",
+)
+def graph_topology(t: Tables) -> DataFrame:
+    _, edges = graph.topology(_lines(t))
+    return edges.select("line", "u", "v", "reversed", "key")
+
+
+@query(
+    """, ln AS (SELECT fid, c0, r0, c1, r1, greatest(abs(c1-c0), abs(r1-r0)) AS n, sign(c1-c0) AS sc, sign(r1-r0) AS sr FROM fx_lines WHERE c0<>c1 OR r0<>r1),
+ st AS (SELECT fid, unnest(range(1, CAST(n AS BIGINT))) AS i, c0, r0, sc, sr FROM ln),
+ ct AS (SELECT st.fid, i, min(x.fid) AS node FROM st JOIN fx_nodes x ON x.x=c0+i*sc AND x.y=r0+i*sr GROUP BY 1, 2),
+ al AS (SELECT fid, i, node FROM ct UNION ALL SELECT fid, 0, -1 FROM ln UNION ALL SELECT fid, CAST(n AS BIGINT), -2 FROM ln),
+ pr AS (SELECT fid, ROW_NUMBER() OVER w - 1 AS piece, node AS u, LEAD(node) OVER w AS v, i, LEAD(i) OVER w AS j FROM al WINDOW w AS (PARTITION BY fid ORDER BY i, node))
+SELECT pr.fid, CAST(piece AS INT) AS piece, CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v, ROUND((j-i)*sqrt(sc*sc+sr*sr), 6) AS length FROM pr JOIN ln USING (fid) WHERE v IS NOT NULL""",
+    "fx_lines",
+    "fx_nodes",
+)
+def edge_split(t: Tables) -> DataFrame:
+    places = t.fx_nodes.groupBy("x", "y").agg(F.min("fid").alias("fid"))
+    edges = _lines(t).where(F.col("coords")[0] != F.element_at("coords", -1)).select("fid", F.lit(-1).cast("long").alias("u"), F.lit(-2).cast("long").alias("v"), "coords")
+    cut = graph.split_edges(edges, places, cell=4.0)
+    return cut.select("fid", "piece", "u", "v", F.round(graph.planar_length(F.col("coords")), 6).alias("length"))
+
+
+@query(
+    """WITH lk AS (SELECT a.fid AS a, b.fid AS b FROM fx_nodes a JOIN fx_nodes b ON (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)<=64),
+ cc(fid, other) AS (SELECT fid, fid FROM fx_nodes UNION SELECT cc.fid, lk.b FROM cc JOIN lk ON lk.a=cc.other),
+ lb AS (SELECT fid, MIN(other) AS label FROM cc GROUP BY 1)
+SELECT label AS fid, ROUND(AVG(x),6) AS x, ROUND(AVG(y),6) AS y, COUNT(*) AS members FROM lb JOIN fx_nodes USING (fid) GROUP BY 1""",
+    "fx_nodes",
+    recursive=True,
+)
+def consolidate_nodes(t: Tables) -> DataFrame:
+    merged, _ = graph.consolidate(t.fx_nodes, t.fx_edges, 4.0)
+    return merged.select("fid", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "members")
+
+
+@query(None)
+def geodesic_lengths(t: Tables) -> DataFrame:
+    xs = F.transform("coords", lambda p: p["x"])
+    ys = F.transform("coords", lambda p: p["y"] - 45)
+    return _lines(t).select("fid", F.round(geodesic_length(xs, ys), 3).alias("metres"))
+
+
+@query("SELECT fid, ROUND(radians(CAST(x AS DOUBLE))*6378137.0, 3)+0.0 AS mx, ROUND(ln(tan(pi()/4+radians(CAST(y AS DOUBLE)-45)/2))*6378137.0, 3)+0.0 AS my FROM fx_nodes", "fx_nodes")
+def reproject_points(t: Tables) -> DataFrame:
+    x, y = C.reproject(F.col("x").cast("double"), F.col("y").cast("double") - 45, "EPSG:4326", "EPSG:3857")
+    return t.fx_nodes.select("fid", (F.round(x, 3) + 0.0).alias("mx"), (F.round(y, 3) + 0.0).alias("my"))
+
+
+@query("SELECT fid, CAST(node AS BIGINT) AS next, fid AS node FROM (SELECT fid, LEAD(fid) OVER (PARTITION BY y ORDER BY x, fid) AS node FROM fx_nodes)", "fx_nodes")
+def consecutive_pairs(t: Tables) -> DataFrame:
+    following = F.lead("fid").over(W.partitionBy("y").orderBy("x", "fid"))
+    return t.fx_nodes.select("fid", following.alias("next"), F.col("fid").alias("node"))
