@@ -19,10 +19,10 @@ later start (the mirrored array) has the same string. That is decided in three s
    and suffix order, truncated at ``length`` bytes, shows which starts agree. Neighbours in
    suffix order are by position among equals, so the previous smaller position with
    ``length`` bytes in common is the one before, the next larger the one after. An anchor
-   with more than HOT kinds is not gathered: its strings are dealt out by their hashes and
-   counted there, which gives the same answer.
+   with more than HOT kinds is not gathered: its representatives go through steps 1 to 3
+   again under longer anchors, at last under the whole strings, which have one kind each.
 
-Hashes stand for bytes: 64 bits of the anchor with 64 of the segment, 128 of a string.
+Hashes stand for bytes: 64 bits of the anchor with 64 of the segment.
 
 Null texts are empty. Texts shorter than ``length`` keep all bytes. Repeated rows of one
 doc_id are one document if their texts are equal (their copies then repeat each other);
@@ -45,7 +45,7 @@ from tidemark.llm.common import checkpoint, map_arrow, partitions, table
 LENGTH = 200
 ANCHOR = 64
 #: Kinds of segments of one anchor up to which they are sorted in one task.
-HOT = 512
+HOT = 2048
 #: Bytes that are hashed, and that are sorted, at once: bounds a worker's memory.
 CHUNK = 1 << 20
 SORTED = 1 << 19
@@ -326,24 +326,69 @@ def _sorted_marks(cut: DataFrame, length: int, keep: str) -> DataFrame:
     return map_arrow(cut.select("anchor", "doc_id", "at", "starts", "n", "bytes"), run, "doc_id long, at long, starts int")
 
 
-def _hot_marks(cut: DataFrame, length: int, keep: str) -> DataFrame:
-    """The same by hashes of the single strings, for anchors with very many kinds."""
+_FINER = "anchor long, kind long, doc_id long, at long, starts int, n long, bytes binary"
+
+
+def _finer_rows(cut: DataFrame, length: int, anchor: int) -> DataFrame:
+    """The segments of (doc_id, at, n, bytes) rows under longer anchors, with their bytes."""
+
+    def found(held: list, rolls: tuple[Rolling, Rolling]) -> pa.RecordBatch:
+        data = np.concatenate([np.frombuffer(r[3], np.uint8) for r in held])
+        ends = np.cumsum([len(r[3]) for r in held])
+        first, starts, key, kind = segments(data, ends, rolls, length, anchor)
+        own = np.searchsorted(ends, first, side="right")
+        offset = first - np.concatenate([[0], ends[:-1]])[own]
+        raw = data.tobytes()
+        columns = [
+            pa.array(key.view(np.int64)),
+            pa.array(kind.view(np.int64)),
+            pa.array([held[i][0] for i in own], pa.int64()),
+            pa.array(np.array([r[1] for r in held])[own] + offset, pa.int64()),
+            pa.array(starts.astype(np.int32)),
+            pa.array([held[i][2] for i in own], pa.int64()),
+            pa.array([raw[a : a + n + length - 1] for a, n in zip(first.tolist(), starts.tolist(), strict=True)], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["anchor", "kind", "doc_id", "at", "starts", "n", "bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolls = (Rolling(3, 4 * LENGTH + 1024), Rolling(4, 4 * LENGTH + 1024))
+        rolls = (Rolling(5), Rolling(6))
+        held, size = [], 0
         for batch in batches:
-            for doc_id, at, n, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                data = np.frombuffer(raw, np.uint8)
-                first = np.arange(len(data) - length + 1)
-                h = [r.of(r.sums(data), first, first + length).view(np.int64) for r in rolls]
-                yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), pa.array([doc_id] * len(first), pa.int64()), pa.array(at + first), pa.array([n] * len(first), pa.int64())], names=["h1", "h2", "doc_id", "at", "n"])
+            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                held.append(r)
+                size += len(r[3])
+                if size >= SORTED:
+                    yield found(held, rolls)
+                    held, size = [], 0
+        if held:
+            yield found(held, rolls)
+
+    return map_arrow(cut.select("doc_id", "at", "n", "bytes"), run, _FINER)
 
-    strings = map_arrow(cut.select("doc_id", "at", "n", "bytes"), run, "h1 long, h2 long, doc_id long, at long, n long")
+
+def _finer_marks(cut: DataFrame, length: int, keep: str, anchors: tuple[int, ...], hot: int) -> DataFrame:
+    """Repeated starts of representatives whose anchor has very many kinds.
+
+    Their strings are dealt out anew by the first of the longer ``anchors``, and what is
+    still hot by the next. An anchor as long as the string has one kind, so the last one
+    settles everything.
+    """
+    rows = checkpoint(_finer_rows(cut, length, anchors[0]))
     place = F.struct("doc_id", "at")
-    known = strings.groupBy("h1", "h2").agg(F.max(place).alias("last"), F.min(place).alias("first")).where("first != last").drop("last")
-    met = strings.join(known, ["h1", "h2"])
-    met = met.where(place != F.col("first")) if keep == "first" else met.where("n = 1")
-    return met.select("doc_id", "at", F.lit(1).alias("starts"))
+    kinds = rows.groupBy("anchor", "kind").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    kinds = checkpoint(kinds.join(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor"))
+    again = F.col("first") != F.col("last")
+    wanted = kinds.where(again | (F.col("kinds") > 1))
+    met = checkpoint(rows.join(wanted, ["anchor", "kind"]))
+    copies = met.where(again & ((place != F.col("first")) if keep == "first" else (F.col("n") == 1)))
+    marks = copies.select("doc_id", "at", "starts")
+    others = met.where((F.col("kinds") > 1) & (place == F.col("first"))).withColumn("n", F.when(again, F.lit(2).cast("long")).otherwise(F.col("n")))
+    small = others.where(F.col("kinds") <= hot).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "at")
+    marks = marks.unionByName(_sorted_marks(small, length, keep))
+    large = others.where(F.col("kinds") > hot)
+    if anchors[1:] and not kinds.where(F.col("kinds") > hot).isEmpty():
+        marks = marks.unionByName(_finer_marks(large, length, keep, anchors[1:], hot))
+    return marks
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
@@ -379,7 +424,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", anchor: i
     small = cut((F.col("kinds") > 1) & (F.col("kinds") <= hot)).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "at")
     marks = marks.unionByName(_sorted_marks(small, length, keep))
     if not kinds.where(F.col("kinds") > hot).isEmpty():
-        marks = marks.unionByName(_hot_marks(cut(F.col("kinds") > hot), length, keep))
+        marks = marks.unionByName(_finer_marks(cut(F.col("kinds") > hot), length, keep, (anchor + 3 * (length - anchor) // 4, length), hot))
     found = marks.groupBy("doc_id").agg(F.collect_list(F.struct("at", "starts")).alias("runs"))
     return dealt.join(found, "doc_id", "left").withColumn("doc_id", F.when(F.col("doc_id") > NO_ID, F.col("doc_id")))
 
