@@ -264,7 +264,7 @@ def decode(data: bytes) -> Iterator[Shown]:
                 target[:] = drawn
             else:
                 np.copyto(target, drawn, where=(samples != clear)[..., None])
-            yield Shown(screen.copy() if disposal in (2, 3) else screen, clock, delay, (left, top, samples.shape[1], samples.shape[0]))
+            yield Shown(screen.copy(), clock, delay, (left, top, samples.shape[1], samples.shape[0]))
             clock += delay
             if disposal == 2:
                 target[:] = ground
