@@ -391,11 +391,18 @@ def said(spans: list[Span]) -> str:
 
 
 def contexts_of(docs: DataFrame, sample: int = SAMPLE) -> list[str]:
-    """At most ``sample`` pieces of text for training, from all documents by hashed id."""
+    """At most ``sample`` pieces of text for training, from all documents by hashed id.
+
+    The count of documents sets the share of hashes to look at, so that about twice the
+    sample comes to the driver, however many documents and tasks there are.
+    """
+    told = docs.where("text is not null")
+    share = min(1.0, 2.0 * sample / max(1, told.count()))
     mark = F.xxhash64(F.col("doc_id"), F.lit(3))
     middle = F.col("text").substr(F.floor(F.length("text") / 3).cast("int"), F.lit(400))
-    rows = docs.where("text is not null").select(mark.alias("mark"), middle.alias("piece")).orderBy("mark", "piece").limit(sample).collect()
-    return [r["piece"] for r in rows]
+    some = told.where(F.pmod(mark, F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    rows = some.select(mark.alias("mark"), middle.alias("piece")).collect()
+    return [r["piece"] for r in sorted(rows, key=lambda r: (r["mark"], r["piece"]))[:sample]]
 
 
 def find(docs: DataFrame, model: Model) -> DataFrame:
