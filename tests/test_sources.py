@@ -81,3 +81,12 @@ def test_only_new_files_are_processed(spark, tmp_path):
     spark.createDataFrame([(5,)], "v long").write.mode("append").parquet(source)
     assert process_new(spark, source, "v long", work, target, state) == 1
     assert sorted(r["v"] for r in spark.read.parquet(target).collect()) == [2, 10]
+
+
+def test_graph_to_geopackage_files(spark):
+    nodes = spark.createDataFrame([("AAA", 5, 1.0, 2.0), ("BBB", 6, 0.0, 0.0)], "country string, osmid long, x double, y double")
+    edges = spark.createDataFrame([("AAA", 3.5, [(0.0, 0.0), (1.0, 2.0)])], "country string, length double, coords array<struct<x:double,y:double>>")
+    files = {r["country"]: bytes(r["content"]) for r in readers.geopackage_files(nodes, edges, {"osmid": "INTEGER"}, {"length": "REAL"}).collect()}
+    assert geopackage.rows(files["AAA"], "nodes")[1] == [(1, 5, [[(1.0, 2.0)]])]
+    assert geopackage.rows(files["AAA"], "edges")[1] == [(1, 3.5, [[(0.0, 0.0), (1.0, 2.0)]])]
+    assert geopackage.rows(files["BBB"], "edges")[1] == []

@@ -115,3 +115,21 @@ def features(rows: DataFrame, properties: list[str], coords: str = "coords") ->
     geometry = F.struct(F.lit("LineString").alias("type"), pairs.alias("coordinates"))
     props = F.struct(*[F.col(p) for p in properties])
     return rows.select(F.to_json(F.struct(F.lit("Feature").alias("type"), props.alias("properties"), geometry.alias("geometry"))).alias("value"))
+
+
+def geopackage_files(nodes: DataFrame, edges: DataFrame, node_columns: dict[str, str], edge_columns: dict[str, str]) -> DataFrame:
+    """(country, content): a GeoPackage with layers nodes and edges for each country.
+
+    ``nodes`` has country, x, y and ``edges`` country, coords, besides the columns named with
+    their SQL types. A country's graph is one file, so it is built in one place.
+    """
+    n = nodes.select("country", F.struct(*node_columns, "x", "y").alias("row")).groupBy("country")
+    e = edges.select("country", F.struct(*edge_columns, "coords").alias("row")).groupBy("country")
+
+    def build(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        points = [(*[r[c] for c in node_columns], [[(r["x"], r["y"])]]) for r in left["row"]] if len(left) else []
+        lines = [(*[r[c] for c in edge_columns], [[(p["x"], p["y"]) for p in r["coords"]]]) for r in right["row"]] if len(right) else []
+        data = geopackage.write({"nodes": (list(node_columns.items()), points, True), "edges": (list(edge_columns.items()), lines, False)})
+        return pd.DataFrame({"country": [key[0]], "content": [data]})
+
+    return n.cogroup(e).applyInPandas(build, "country string, content binary")
