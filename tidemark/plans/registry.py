@@ -458,3 +458,53 @@ def reproject_points(t: Tables) -> DataFrame:
 def consecutive_pairs(t: Tables) -> DataFrame:
     following = F.lead("fid").over(W.partitionBy("y").orderBy("x", "fid"))
     return t.fx_nodes.select("fid", following.alias("next"), F.col("fid").alias("node"))
+
+
+# --- predicates ------------------------------------------------------------
+
+
+@query("SELECT fid FROM fx_affected WHERE value<>0", "fx_affected")
+def affected_points(t: Tables) -> DataFrame:
+    return graph.hit_points(t.fx_affected)
+
+
+@query("SELECT fid, u, v FROM fx_edges WHERE affectDays=0", "fx_edges")
+def open_edges(t: Tables) -> DataFrame:
+    return t.fx_edges.where(F.col("affectDays") == 0).select("fid", "u", "v")
+
+
+@query("SELECT fid FROM (SELECT fid, CASE WHEN fid%3=0 THEN NULL ELSE pop END AS pop FROM fx_nodes) WHERE pop IS NULL", "fx_nodes")
+def work_left(t: Tables) -> DataFrame:
+    target, _ = _target(t)
+    return target.where(F.col("pop").isNull()).select("fid")
+
+
+@query("SELECT fid FROM fx_lines WHERE NOT (greatest(c0,c1)<20 OR least(c0,c1)>60 OR greatest(r0,r1)<10 OR least(r0,r1)>50)", "fx_lines")
+def lines_in_box(t: Tables) -> DataFrame:
+    boxed = t.fx_lines.select("fid", F.least("c0", "c1").alias("a_x0"), F.greatest("c0", "c1").alias("a_x1"), F.least("r0", "r1").alias("a_y0"), F.greatest("r0", "r1").alias("a_y1"))
+    boxed = boxed.withColumns({"b_x0": F.lit(20), "b_x1": F.lit(60), "b_y0": F.lit(10), "b_y1": F.lit(50)})
+    return boxed.where(~raster.disjoint("a", "b")).select("fid")
+
+
+@query(
+    """, f AS (SELECT country || '_' || g.gender || '_' || CAST(a.age AS VARCHAR) || '_2020_constrained_UNadj.tif' AS name
+  FROM (SELECT DISTINCT lower(country) AS country FROM fx_archives), (VALUES ('f'),('m')) g(gender), (SELECT 0 AS age UNION SELECT 1 UNION SELECT unnest(range(5,81,5))) a)
+SELECT name FROM f WHERE split_part(name,'_',2)='f' AND CAST(split_part(name,'_',3) AS INT) IN (0,1,5)""",
+    "fx_archives",
+)
+def population_files(t: Tables) -> DataFrame:
+    names = catalog.population_names(t.fx_archives.select("country").distinct()).select("name")
+    gender, age = C.name_part(F.col("name"), "_", 1), C.name_part(F.col("name"), "_", 2).cast("int")
+    return names.where(gender.isin("f") & age.isin(0, 1, 5))
+
+
+@query("SELECT n_name AS name, 'N' || n_nationkey AS iso3, coalesce(times, 0) AS times FROM nation LEFT JOIN (SELECT country, COUNT(*) AS times FROM fx_archives GROUP BY 1) ON country='N' || n_nationkey WHERE n_name NOT IN ('CHINA','PERU')", "fx_archives")
+def country_lookup(t: Tables) -> DataFrame:
+    dim = t.nation.where(~F.col("n_name").isin("CHINA", "PERU")).select(F.col("n_name").alias("name"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("iso3"))
+    counts = t.fx_archives.groupBy(F.col("country").alias("iso3")).agg(F.count("*").alias("times"))
+    return dim.join(counts, "iso3", "left").select("name", "iso3", F.coalesce("times", F.lit(0)).cast("long").alias("times"))
+
+
+@query("SELECT l.fid, CAST(n.parts AS BIGINT) AS cells FROM fx_lines l JOIN (SELECT fid, greatest(abs(c1-c0), abs(r1-r0))+1 AS parts FROM fx_lines) n USING (fid)", "fx_lines")
+def line_cell_counts(t: Tables) -> DataFrame:
+    return raster.line_cells(t.fx_lines, "fid").groupBy("fid").agg(F.count("*").alias("cells"))
