@@ -9,8 +9,8 @@ SQL = {
     "fx_nodes": """SELECT s_suppkey+1 AS fid, (s_suppkey*37)%101 AS x, (s_suppkey*53)%97 AS y,
        CAST(CASE WHEN s_acctbal>0 THEN FLOOR(s_acctbal) ELSE 0 END AS BIGINT) AS pop FROM supplier""",
     "fx_points": "SELECT c_custkey+1 AS fid, (c_custkey*29)%101 AS x, (c_custkey*31)%97 AS y FROM customer",
-    "fx_edges": """SELECT ROW_NUMBER() OVER (ORDER BY u, v, length, affectDays) AS fid, u, v,
-       ROW_NUMBER() OVER (PARTITION BY u, v ORDER BY length, affectDays)-1 AS key, length, affectDays
+    "fx_edges": """SELECT CAST(ROW_NUMBER() OVER (ORDER BY u, v, length, affectDays) AS BIGINT) AS fid, u, v,
+       CAST(ROW_NUMBER() OVER (PARTITION BY u, v ORDER BY length, affectDays)-1 AS BIGINT) AS key, length, affectDays
 FROM (SELECT DISTINCT l_suppkey+1 AS u, l_partkey%(SELECT COUNT(*) FROM supplier)+1 AS v,
              1+CAST(l_quantity AS INT) AS length,
              CASE WHEN l_returnflag='R' THEN CAST(l_quantity AS INT) ELSE 0 END AS affectDays
