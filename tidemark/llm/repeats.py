@@ -404,7 +404,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", anchor: i
     key = F.coalesce(F.col("doc_id").cast("long"), NO_ID - F.pmod(F.xxhash64(raw), F.lit(-NO_ID)))
     texts = docs.select(key.alias("doc_id"), raw.alias("bytes"))
     rows = segment_rows(texts, length, anchor)
-    known = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Cut here, so that both sides of the join are plain shuffles, whose hot keys can be split.
+    known = checkpoint(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     rows = checkpoint(rows.join(known, "anchor"))
     place = F.struct("doc_id", "at", "starts")
     kinds = rows.groupBy("anchor", "kind").agg(F.count("*").alias("n"), F.min(place).alias("first"))
