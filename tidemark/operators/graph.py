@@ -184,14 +184,15 @@ def reach(sources: DataFrame, edges: DataFrame, limit: float, weight: str = "len
     kind = kind if kind in ("double", "float") else "bigint"
     flat = edges.where(F.col(weight) <= limit).groupBy("u", "v").agg(F.min(weight).cast(kind).alias("w"))
     starts = sources.select(F.col("fid").cast("long").alias("src")).distinct()
-    # One more row than the limit tells that the graph is larger.
-    if local_edges and flat.limit(local_edges + 1).count() <= local_edges:
-        return _reach_local(starts, flat, limit, kind)
+    if local_edges:
+        # One more row than the limit tells that the graph is larger.
+        known = flat.limit(local_edges + 1).toPandas()
+        if len(known) <= local_edges:
+            return _reach_local(starts, known, limit, kind)
     return _reach_joined(starts, checkpoint(flat), limit, kind)
 
 
-def _reach_local(starts: DataFrame, flat: DataFrame, limit: float, kind: str) -> DataFrame:
-    known = flat.toPandas()
+def _reach_local(starts: DataFrame, known: pd.DataFrame, limit: float, kind: str) -> DataFrame:
     order = np.argsort(known["u"].to_numpy(), kind="stable")
     u, v, w = (known[c].to_numpy()[order] for c in ("u", "v", "w"))
     heads, first = np.unique(u, return_index=True)
