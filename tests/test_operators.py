@@ -55,6 +55,8 @@ def test_reach_cutoff_direction_and_parallel_edges(spark, local):
     edges = spark.createDataFrame(EDGES, "u long, v long, length int")
     found = got(graph.reach(nodes.where("fid in (1, 6)"), edges, 10, local_edges=local))
     assert found == [(1, 1, 0), (1, 2, 4), (1, 3, 10), (6, 6, 0)]
+    assert got(graph.reach(nodes.where("fid = 1"), edges.where("false"), 10, local_edges=local)) == [(1, 1, 0)]
+    assert graph.reach(nodes.where("false"), edges, 10, local_edges=local).count() == 0
 
 
 @SOME

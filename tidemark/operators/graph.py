@@ -196,7 +196,7 @@ def _reach_local(starts: DataFrame, known: pd.DataFrame, limit: float, kind: str
     order = np.argsort(known["u"].to_numpy(), kind="stable")
     u, v, w = (known[c].to_numpy()[order] for c in ("u", "v", "w"))
     heads, first = np.unique(u, return_index=True)
-    ends = np.append(first[1:], len(u))
+    ends = np.append(first[1:], len(u))[: len(heads)]
     held = starts.sparkSession.sparkContext.broadcast((heads, first, ends, v, w))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
