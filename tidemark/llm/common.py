@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -43,7 +44,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             named = os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
         context.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # What earlier rounds shuffled is deleted when the driver forgets it; a driver with little
+    # to do would keep it for long, and loops would fill the executors' disks.
+    gc.collect()
+    context._jvm.System.gc()
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
