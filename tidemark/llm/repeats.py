@@ -416,16 +416,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", anchor: i
     marks = copies.select("doc_id", "at", "starts")
     dealt = texts.repartition(partitions(docs.sparkSession), "doc_id")
 
-    def cut(which: Column) -> DataFrame:
+    def cut(which: Column, source: DataFrame) -> DataFrame:
         """Representatives with their bytes."""
         asked = kinds.where(which).groupBy("first.doc_id").agg(F.collect_list(F.struct("anchor", "first.at", "first.starts", "n")).alias("asked"))
         own = F.transform("asked", lambda s: F.struct(s["anchor"].alias("anchor"), s["at"].alias("at"), s["starts"].alias("starts"), s["n"].alias("n"), F.substring("bytes", (s["at"] + 1).cast("int"), (s["starts"] + (length - 1)).cast("int")).alias("bytes")))
-        return dealt.join(asked, "doc_id").select("doc_id", F.explode(own).alias("c")).select("doc_id", "c.*")
+        return source.join(asked, "doc_id").select("doc_id", F.explode(own).alias("c")).select("doc_id", "c.*")
 
-    small = cut((F.col("kinds") > 1) & (F.col("kinds") <= hot)).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "at")
+    small = cut((F.col("kinds") > 1) & (F.col("kinds") <= hot), dealt).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "at")
     marks = marks.unionByName(_sorted_marks(small, length, keep))
     if not kinds.where(F.col("kinds") > hot).isEmpty():
-        marks = marks.unionByName(_finer_marks(cut(F.col("kinds") > hot), length, keep, (anchor + 3 * (length - anchor) // 4, length), hot))
+        marks = marks.unionByName(_finer_marks(cut(F.col("kinds") > hot, texts), length, keep, (anchor + 3 * (length - anchor) // 4, length), hot))
     found = marks.groupBy("doc_id").agg(F.collect_list(F.struct("at", "starts")).alias("runs"))
     return dealt.join(found, "doc_id", "left").withColumn("doc_id", F.when(F.col("doc_id") > NO_ID, F.col("doc_id")))
 
