@@ -1,7 +1,7 @@
 """A training-data pipeline over ``documents``: five stages, each one operator's decisions.
 
 language_id    documents without a letter, or that the byte network is unsure about, go
-near_dedup     of each class of SimHash near-duplicates the smallest doc_id stays
+near_dedup     of each class of near copies (5-word Jaccard of 0.8 or more) the smallest doc_id stays
 secret_scan    documents that hold a secret go
 mix            documents are repeated, kept or left out so that sources meet their targets
 packing        the mix as token sequences
@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, mixing, packing, secrets, simhash
+from tidemark.llm import jaccard, langid, mixing, packing, secrets
 from tidemark.llm.common import checkpoint, table
 
 #: A document whose language is less probable than this is not kept.
@@ -32,8 +32,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each class, and one row of it; null ids all stay."""
-    classes = simhash.near_duplicates(docs.where("doc_id is not null"))
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    classes = checkpoint(jaccard.near_copies(docs.where("doc_id is not null").select("doc_id", "text")).select("doc_id", "root"))
+    least = classes.groupBy("root").agg(F.min("doc_id").alias("least"))
+    gone = classes.join(least, "root").where("doc_id <> least").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
