@@ -14,7 +14,7 @@ SQL = {
 FROM (SELECT DISTINCT l_suppkey+1 AS u, l_partkey%(SELECT COUNT(*) FROM supplier)+1 AS v,
              1+CAST(l_quantity AS INT) AS length,
              CASE WHEN l_returnflag='R' THEN CAST(l_quantity AS INT) ELSE 0 END AS affectDays
-      FROM lineitem WHERE l_orderkey%100=0) t""",
+      FROM lineitem) t""",
     "fx_flood": """SELECT l_linenumber AS event, l_partkey%97 AS r, l_suppkey%101 AS c, MAX(CAST(l_quantity AS INT)) AS days,
        MAX(CASE WHEN l_linestatus='O' AND l_returnflag='R' THEN 1 ELSE 0 END) AS perm
 FROM lineitem GROUP BY l_linenumber, l_partkey%97, l_suppkey%101""",
@@ -34,7 +34,7 @@ FROM part""",
     "fx_archives": """SELECT CONCAT('N', CAST(o_custkey%25 AS STRING)) AS country,
        CONCAT('DFO_', CAST(o_orderkey AS STRING), '_From_', REPLACE(CAST(CAST(o_orderdate AS DATE) AS STRING),'-',''),
               '_to_', REPLACE(CAST(CAST(o_orderdate AS DATE)+CAST(o_orderkey%30 AS INT) AS STRING),'-',''), '.zip') AS name
-FROM orders WHERE o_orderkey%50=0""",
+FROM orders""",
 }
 
 #: Tables and fixtures that each fixture reads.
