@@ -164,19 +164,19 @@ def classes(docs: DataFrame, star_turns: int = 2) -> DataFrame:
     """(mark, root) of each distinct text: marks are hashes of texts, and texts
     with the same root can be reached from each other over links."""
     texts = _texts(docs)
-    own = checkpoint(_profiles(texts.dropDuplicates(["mark"])))
+    own = checkpoint(_profiles(texts))
     nodes = own.groupBy("node").agg(F.min_by(F.struct("mark", "n", "prefix", *LANES), "mark").alias("s")).select("node", "s.*")
     nodes = checkpoint(nodes)
     held = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
     shared = held.groupBy("key").agg(F.count("*").alias("holders")).where("holders > 1").select("key")
     held = checkpoint(held.join(shared, "key").join(nodes.select("node", *LANES), "node"))
     wanted = nodes.join(held.select("node").distinct(), "node", "left_semi").select("mark", "node")
-    sets = checkpoint(_sets(texts.dropDuplicates(["mark"]).join(wanted, "mark").select("node", "text")))
+    sets = checkpoint(_sets(texts.join(wanted, "mark").dropDuplicates(["mark"]).select("node", "text")))
     labelled = nodes.select("node", F.col("node").alias("root"))
     for turn in range(star_turns):
         labelled = _merge(labelled, _verified(_star_pairs(held, turn), sets))
     labelled = _merge(labelled, _verified(_other_pairs(held.join(labelled, "node")), sets))
-    return own.select("mark", "node").join(labelled, "node").select("mark", "root")
+    return own.select("mark", "node").distinct().join(labelled, "node").select("mark", "root")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
