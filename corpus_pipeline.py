@@ -31,12 +31,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each class, and one row of it; null ids all stay."""
-    classes = checkpoint(jaccard.near_copies(docs.where("doc_id is not null").select("doc_id", "text")).select("doc_id", "root"))
-    least = classes.groupBy("root").agg(F.min("doc_id").alias("least"))
-    gone = classes.join(least, "root").where("doc_id <> least").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Keeps one row of the smallest doc_id of each class; null ids all stay. Classes are of texts:
+    texts of different classes that share a doc_id do not remove each other."""
+    named = docs.where("doc_id is not null").withColumn("_mark", jaccard.mark(F.col("text")))
+    found = named.select("doc_id", "_mark").join(jaccard.classes(named).withColumnRenamed("mark", "_mark"), "_mark")
+    least = found.groupBy("root").agg(F.min(F.struct("doc_id", "_mark")).alias("row")).select("row.*")
+    kept = named.join(least, ["_mark", "doc_id"], "left_semi").dropDuplicates(["_mark", "doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

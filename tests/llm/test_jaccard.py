@@ -64,3 +64,10 @@ def test_near_dedup_equals_brute_force(spark):
 def test_near_dedup_of_the_hard_rows(spark):
     kept = {r["doc_id"] for r in C.near_dedup(spark, cases.table(spark), "").collect()}
     assert 0 in kept and 2 in kept and not kept & {1, 4}
+
+
+def test_texts_that_share_a_doc_id_are_judged_alone(spark):
+    near, clean = "a b c d e f g h i j k l", "quite another text that nothing else is like at all"
+    docs = spark.createDataFrame([(1, near), (5, near), (5, clean), (5, clean), (None, near)], "doc_id long, text string")
+    got = sorted(map(tuple, C.near_dedup(spark, docs, "").collect()), key=repr)
+    assert got == [(1, near), (5, clean), (None, near)]

@@ -67,12 +67,13 @@ def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndar
     return found[np.lexsort((found, often))][: len(found) - (4 * len(found) + 4) // 5 + 1]
 
 
-def _mark(text: str) -> Column:
-    return F.xxhash64(F.lit(SEED), F.coalesce(F.col(text).cast("string"), F.lit("")))
+def mark(text: Column) -> Column:
+    """The hash that stands for a text; null is the empty one."""
+    return F.xxhash64(F.lit(SEED), F.coalesce(text.cast("string"), F.lit("")))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(_mark("text").alias("mark"), F.col("text").cast("string").alias("text"))
+    return docs.select(mark(F.col("text")).alias("mark"), F.col("text").cast("string").alias("text"))
 
 
 def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -161,8 +162,8 @@ def _other_pairs(held: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, star_turns: int = 2) -> DataFrame:
-    """(mark, root) of each distinct text: marks are hashes of texts, and texts
-    with the same root can be reached from each other over links."""
+    """(mark, root) of each distinct text; texts with the same root can be reached from
+    each other over links."""
     texts = _texts(docs)
     own = checkpoint(_profiles(texts))
     nodes = own.groupBy("node").agg(F.min_by(F.struct("mark", "n", "prefix", *LANES), "mark").alias("s")).select("node", "s.*")
@@ -177,8 +178,3 @@ def classes(docs: DataFrame, star_turns: int = 2) -> DataFrame:
         labelled = _merge(labelled, _verified(_star_pairs(held, turn), sets))
     labelled = _merge(labelled, _verified(_other_pairs(held.join(labelled, "node")), sets))
     return own.select("mark", "node").distinct().join(labelled, "node").select("mark", "root")
-
-
-def near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with ``root``, which all texts of a class share."""
-    return docs.withColumn("_mark", _mark("text")).join(classes(docs).withColumnRenamed("mark", "_mark"), "_mark").drop("_mark")
