@@ -48,9 +48,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each use of a document; the one that a source's target cuts is cut."""
-    mixed = mixing.mix(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "source")))
-    uses = mixed.withColumn("use", F.explode("copies"))
+    """One row for each use of a document; the one that a source's target cuts is cut. Rows
+    stand by shard, in the order of their places: a partition is a run of one or more shards."""
+    mixed = checkpoint(mixing.mix(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "source"))).select(*docs.columns, "size", "copies"))
+    uses = mixed.withColumn("use", F.explode("copies")).drop("copies")
+    uses = uses.repartitionByRange("use.shard", "use.place").sortWithinPartitions("use.shard", "use.place")
     pieces = F.regexp_extract_all("text", F.lit(mixing.WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     part = F.array_join(F.slice(pieces, F.lit(1), F.col("use.words").cast("int")), "")
     text = F.when(F.col("use.words") < F.col("size"), part).otherwise(F.col("text"))

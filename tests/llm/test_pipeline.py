@@ -46,3 +46,9 @@ def test_stages_keep_columns_and_take_effect(spark):
 def test_run_chains_the_stages(spark, small):
     rows = C.run(spark, small).collect()
     assert rows and not {r["doc_id"] for r in rows} & {1, 3, 4, 7, 10, 11}
+
+
+def test_mix_leaves_by_shard_and_place(spark):
+    docs = spark.createDataFrame([(i, "some words of a text " * (i % 7 + 1), f"s{i % 3}") for i in range(300)], "doc_id long, text string, source string")
+    want = [r["doc_id"] for r in mixing.mix(docs).selectExpr("doc_id", "explode(copies) as use").orderBy("use.shard", "use.place").collect()]
+    assert [r["doc_id"] for r in C.mix(spark, docs, "").collect()] == want
