@@ -132,10 +132,16 @@ def _possible(a: str, b: str) -> Column:
     return (9 * most >= 4 * both) & (9 * apart <= both)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, names: DataFrame) -> DataFrame:
+    """The pairs that are 4/5 alike. Only texts of candidates are hashed again."""
+    pairs = checkpoint(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    first = names.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark"))
+    sets = checkpoint(_sets(texts.join(first, "mark").dropDuplicates(["mark"]).select("node", "text")))
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
     shared = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(9 * shared >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+    alike = pairs.join(side("a"), "a").join(side("b"), "b").where(9 * shared >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+    return checkpoint(alike)
 
 
 def _merge(labelled: DataFrame, links: DataFrame) -> DataFrame:
@@ -166,15 +172,15 @@ def classes(docs: DataFrame, star_turns: int = 2) -> DataFrame:
     each other over links."""
     texts = _texts(docs)
     own = checkpoint(_profiles(texts))
-    nodes = own.groupBy("node").agg(F.min_by(F.struct("mark", "n", "prefix", *LANES), "mark").alias("s")).select("node", "s.*")
-    nodes = checkpoint(nodes)
+    names = checkpoint(own.select("mark", "node").distinct())
+    nodes = checkpoint(own.groupBy("node").agg(F.min_by(F.struct("n", "prefix", *LANES), "mark").alias("s")).select("node", "s.*"))
+    del own  # what is not needed any more leaves the disk at the next checkpoint
     held = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
     shared = held.groupBy("key").agg(F.count("*").alias("holders")).where("holders > 1").select("key")
     held = checkpoint(held.join(shared, "key").join(nodes.select("node", *LANES), "node"))
-    wanted = nodes.join(held.select("node").distinct(), "node", "left_semi").select("mark", "node")
-    sets = checkpoint(_sets(texts.join(wanted, "mark").dropDuplicates(["mark"]).select("node", "text")))
-    labelled = nodes.select("node", F.col("node").alias("root"))
+    del nodes, shared
+    labelled = names.select("node", F.col("node").alias("root")).distinct()
     for turn in range(star_turns):
-        labelled = _merge(labelled, _verified(_star_pairs(held, turn), sets))
-    labelled = _merge(labelled, _verified(_other_pairs(held.join(labelled, "node")), sets))
-    return own.select("mark", "node").distinct().join(labelled, "node").select("mark", "root")
+        labelled = _merge(labelled, _verified(_star_pairs(held, turn), texts, names))
+    labelled = _merge(labelled, _verified(_other_pairs(held.join(labelled, "node")), texts, names))
+    return names.join(labelled, "node").select("mark", "root")
