@@ -1,9 +1,13 @@
 """Rows of a Spark and of a DuckDB result, without order."""
 
 import math
+import os
 
 import duckdb
 
+#: The tables that the tests read.
+DATA = os.environ.get("TIDEMARK_TEST_DATA", "/root/testdata/sf0.001")
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

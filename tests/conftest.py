@@ -1,10 +1,6 @@
-import os
-
 import pytest
 from pyspark.sql import SparkSession
 
-DATA = os.environ.get("TIDEMARK_TEST_DATA", "/root/testdata/sf0.001")
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

@@ -1,11 +1,9 @@
 """Fixtures keep all rows of the tables they are derived from."""
 
-import os
+from compare import DATA
 
 from tidemark.plans import fixtures
 
-DATA = os.environ.get("TIDEMARK_TEST_DATA", "/root/testdata/sf0.001")
-
 
 def test_archives_and_edges_read_whole_tables(spark):
     orders, lineitem, supplier = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("orders", "lineitem", "supplier"))

@@ -1,8 +1,7 @@
 """Every registered query against its DuckDB equivalent."""
 
 import pytest
-from compare import connect, rows, sql_rows
-from conftest import DATA
+from compare import DATA, connect, rows, sql_rows
 
 from tidemark.plans import registry
 

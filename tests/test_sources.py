@@ -13,12 +13,9 @@ from tidemark.streaming.incremental import process_new
 GRID = (10.0, 0.5, 50.0, -0.25)
 
 
-@pytest.mark.parametrize("kind", ["u1", "i2", "i4", "f4", "f8"])
+@pytest.mark.parametrize(("kind", "predictor"), [("u1", 1), ("u1", 2), ("i2", 1), ("i2", 2), ("i4", 1), ("i4", 2), ("f4", 1), ("f4", 3), ("f8", 1), ("f8", 3)])
 @pytest.mark.parametrize("tile", [None, 16])
-@pytest.mark.parametrize("predictor", [1, 2, 3])
 def test_tiff_round_trip(kind, tile, predictor):
-    if (predictor == 3) != (kind[0] == "f") and predictor != 1:
-        pytest.skip("predictor 2 is for integers, 3 for floats")
     rng = np.random.default_rng(1)
     bands = rng.integers(0, 100, (2, 70, 37)).astype(kind)
     data = geotiff.write(bands, GRID, tile, predictor, nodata=-99999)
