@@ -10,8 +10,8 @@ palette, one frame for every MAX_ROWS rows, and reads them back from the composi
 
 Null texts are empty; the payload of an empty text is 64 zero bytes. Repeated rows each
 give a row; equal texts give equal values; an empty table gives no rows; other columns are
-not read. A broken stream raises ValueError in ``decode``; ``frames`` returns an error
-column instead of failing the job.
+not read. A broken stream, or one that claims over MAX_PIXELS, raises ValueError in
+``decode``; ``frames`` returns an error column instead of failing the job.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,21 @@ DELAY = 10  # hundredths of a second
 BINS = 4  # of each colour channel
 GREY = bytes(v for i in range(256) for v in (i, i, i))
 FULL = 4096  # codes of 12 bits
+#: Pixels of a screen or of a frame; files that claim more are refused.
+MAX_PIXELS = 1 << 25
 
 
 def pack_codes(codes: np.ndarray, widths: np.ndarray) -> bytes:
     """Codes to bits, each from its lowest bit on."""
-    bits = np.unpackbits(codes.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
-    return np.packbits(bits[np.arange(16) < widths[:, None]], bitorder="little").tobytes()
+    ends = np.cumsum(widths)
+    at = ends - widths
+    held = codes.astype(np.int64) << (at & 7)  # at most 19 bits: three bytes
+    size = (int(ends[-1]) + 7) // 8
+    out = np.zeros(size + 3)
+    for k in range(3):
+        # No two codes share a bit, so sums are unions.
+        out += np.bincount((at >> 3) + k, weights=held >> 8 * k & 255, minlength=size + 3)
+    return out[:size].astype(np.uint8).tobytes()
 
 
 def lzw_encode(samples: bytes, depth: int = 8) -> bytes:
@@ -48,49 +58,86 @@ def lzw_encode(samples: bytes, depth: int = 8) -> bytes:
     clear, end = 1 << depth, (1 << depth) + 1
     codes, resets = [clear], [0]
     put = codes.append
-    known: dict[int, int] = {}
-    find = known.get
-    free = end + 1
+    after: list[dict[int, int]] = [{} for _ in range(end + 1)]  # of each code: the code that one more sample makes
+    add = after.append
     held = samples[0] if samples else -1
+    here = after[held]
     for s in memoryview(samples)[1:]:
-        key = held << 8 | s
-        found = find(key)
+        found = here.get(s)
         if found is not None:
             held = found
+            here = after[found]
             continue
         put(held)
         held = s
+        free = len(after)
         if free < FULL:
-            known[key] = free
-            free += 1
+            here[s] = free
+            add({})
         else:
             resets.append(len(codes))
             put(clear)
-            known.clear()
-            free = end + 1
+            after = [{} for _ in range(end + 1)]
+            add = after.append
+        here = after[s]
     if held >= 0:
         put(held)
     put(end)
     # The k-th code after a clear code may refer to clear + 1 + k entries: its width follows.
     number = np.arange(len(codes))
     since = number - np.repeat(resets, np.diff([*resets, len(codes)]))
-    widths = _width(since, depth)
+    widths = _width(depth)[since]
     widths[resets[1:]] = 12
     widths[0] = depth + 1
     return pack_codes(np.array(codes), widths)
 
 
-def _width(since: np.ndarray, depth: int) -> np.ndarray:
+@cache
+def _width(depth: int) -> np.ndarray:
     """Bits of the code that stands so many codes after a clear code."""
-    top = (1 << depth) + np.maximum(since, 1)  # largest code that a reader may know here
+    top = (1 << depth) + np.maximum(np.arange(FULL + 1), 1)  # largest code that a reader may know here
     return np.minimum(12, np.floor(np.log2(top)).astype(np.int64) + 1)
 
 
+def _lengths(codes: np.ndarray, clear: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of codes since a clear code: the one that each repeats and extends (itself, if it is a
+    sample), and its samples."""
+    back = codes - (clear + 2)
+    up = np.where(back < 0, np.arange(len(codes)), back)
+    steps, at = (back >= 0).astype(np.int64), up
+    while True:
+        more = steps[at]
+        if not more.any():
+            return up, steps + 1
+        steps, at = steps + more, at[at]
+
+
+def _expand(codes: np.ndarray, clear: int) -> np.ndarray:
+    """Samples of the codes since a clear code.
+
+    The entry that the k-th code makes is what that code gave and the sample after it: a code
+    copies from earlier output. Each sample points to where it is copied from, and pointers
+    are followed in doubling steps to the samples that stand for themselves.
+    """
+    up, length = _lengths(codes, clear)
+    ends = np.cumsum(length)
+    start = ends - length
+    out = np.zeros(int(ends[-1]), np.uint8)
+    own = codes < clear
+    out[start[own]] = codes[own]
+    source = np.arange(len(out)) - np.repeat(start - start[up], length)
+    while True:
+        further = source[source]
+        if np.array_equal(further, source):
+            return out[source]
+        source = further
+
+
 def lzw_decode(stream: bytes, depth: int, size: int) -> bytes:
     """The first ``size`` samples of a stream (fewer if it ends).
 
     The width of a code follows from how many stand since the last clear code, so a run of
-    codes is cut out of the bits at once; only the entries are followed one by one.
+    codes is cut out of the bits at once.
     """
     if not 1 <= depth <= 8:
         raise ValueError("LZW code size")
@@ -98,14 +145,12 @@ def lzw_decode(stream: bytes, depth: int, size: int) -> bytes:
     total = 8 * len(stream)
     held = np.frombuffer(stream + b"\0\0", dtype=np.uint8).astype(np.uint32)
     three = held[:-2] | held[1:-1] << 8 | held[2:] << 16
-    schedule = _width(np.arange(1, FULL + 1), depth)
+    schedule = _width(depth)[1:]
     place = np.cumsum(schedule) - schedule
     grown = FULL - end  # codes since a clear code that can add an entry, the first of them adding none
-    roots = [bytes([i]) for i in range(clear)] + [b"", b""]
-    known, last, since = roots[:], b"", 0
-    out: list[bytes] = []
-    put = out.append
-    got, at = 0, 0
+    out: list[np.ndarray] = []
+    some: list[np.ndarray] = []  # runs since the last clear code
+    got, at, since, table = 0, 0, 0, np.zeros(0, np.int64)
     while got < size:
         # A run ends where the table is full; from there on all codes have 12 bits.
         w, p = (schedule[since:grown], place[since:grown] - place[since]) if since < grown else (np.full(FULL, 12), np.arange(FULL) * 12)
@@ -113,47 +158,31 @@ def lzw_decode(stream: bytes, depth: int, size: int) -> bytes:
         if not n:
             break
         w, p = w[:n], p[:n] + at
-        codes = (three[p >> 3] >> (p & 7).astype(np.uint32)) & ((1 << w) - 1).astype(np.uint32)
+        codes = ((three[p >> 3] >> (p & 7).astype(np.uint32)) & ((1 << w) - 1).astype(np.uint32)).astype(np.int64)
         marks = np.flatnonzero((codes == clear) | (codes == end))
         run = codes[: marks[0]] if len(marks) else codes
         if (run > clear + 1 + np.minimum(since + np.arange(len(run)), FULL - 2 - clear)).any():
             raise ValueError("LZW code before its entry")
-        rest = iter(run.tolist())
-        if not since:
-            for code in rest:
-                last = known[code]
-                put(last)
-                break
-        if since < grown:
-            free = len(known)
-            add = known.append
-            for code in rest:
-                if code < free:
-                    word = known[code]
-                    add(last + word[:1])
-                else:
-                    word = last + last[:1]
-                    add(word)
-                free += 1
-                put(word)
-                last = word
-        else:
-            for code in rest:
-                put(known[code])
-        got = sum(map(len, out)) if len(marks) or n < len(schedule) else got
+        if len(run):
+            some.append(run)
+            if since < grown:
+                table = _lengths(run, clear)[1] if not since else _lengths(np.concatenate(some), clear)[1]
+                got += int(table[since:].sum())
+            else:
+                got += int(np.where(run < clear, 1, table[np.maximum(run - clear - 2, 0)] + 1).sum())
         since += len(run)
         if len(marks):
             at = int(p[marks[0]] + w[marks[0]])
+            if some:
+                out.append(_expand(np.concatenate(some), clear))
+            some, since = [], 0
             if codes[marks[0]] == end:
                 break
-            known, last, since = roots[:], b"", 0
         else:
             at = int(p[-1] + w[-1])
-        if len(out) > 1 << 16:
-            out = [b"".join(out)]
-            put = out.append
-            got = len(out[0])
-    return b"".join(out)[:size]
+    if some:
+        out.append(_expand(np.concatenate(some), clear))
+    return (np.concatenate(out)[:size] if out else np.zeros(0, np.uint8)).tobytes()
 
 
 def _blocks(data: bytes) -> bytes:
@@ -208,6 +237,8 @@ def decode(data: bytes) -> Iterator[Shown]:
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags, back, _ = struct.unpack("<HHBBB", data[6:13])
+    if width * height > MAX_PIXELS:
+        raise ValueError("screen too large")
     at = 13
     shared = None
     if flags & 0x80:
@@ -240,6 +271,8 @@ def decode(data: bytes) -> Iterator[Shown]:
             at = after
         elif kind == 0x2C:
             left, top, w, h, flags = struct.unpack("<HHHHB", data[at + 1 : at + 10])
+            if w * h > MAX_PIXELS:
+                raise ValueError("frame too large")
             at += 10
             colours = shared
             if flags & 0x80:
@@ -259,7 +292,7 @@ def decode(data: bytes) -> Iterator[Shown]:
             # What lies outside of the screen is not drawn.
             samples = samples[: max(0, height - top), : max(0, width - left)]
             target = screen[top : top + samples.shape[0], left : left + samples.shape[1]]
-            drawn = colours[np.minimum(samples, len(colours) - 1)]
+            drawn = colours.take(samples, axis=0, mode="clip")
             if clear is None:
                 target[:] = drawn
             else:
@@ -277,8 +310,8 @@ def decode(data: bytes) -> Iterator[Shown]:
 
 def histogram(rgb: np.ndarray, bins: int = BINS) -> np.ndarray:
     """Pixels by colour: ``bins`` levels of each channel."""
-    level = rgb.reshape(-1, 3).astype(np.int64) * bins >> 8
-    return np.bincount((level[:, 0] * bins + level[:, 1]) * bins + level[:, 2], minlength=bins**3)
+    level = rgb.astype(np.uint16) * np.uint16(bins) >> 8
+    return np.bincount(((level[..., 0] * np.uint16(bins) + level[..., 1]) * np.uint16(bins) + level[..., 2]).reshape(-1), minlength=bins**3)
 
 
 def store(payload: bytes, width: int = WIDTH, max_rows: int = MAX_ROWS) -> bytes:
@@ -304,9 +337,11 @@ def payload_of(text: bytes, unit: int = 64) -> bytes:
 
 
 def media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media (the GIF), the digests of what was read back, and features."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+    """doc_id, n_bytes, media (the GIF), what was read back of it: payload_bytes, payload_sha256,
+    tail_crc32, the timed frames, and the histogram of all drawn colours."""
+    names = ["doc_id", "n_bytes", "media", "payload_bytes", "payload_sha256", "tail_crc32", "frames", "histogram"]
+    frame = pa.struct([("at", pa.int64()), ("delay", pa.int64())])
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.list_(frame), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,12 +350,10 @@ def media(docs: DataFrame) -> DataFrame:
                 own = (text.as_py() or "").encode()
                 gif = store(payload_of(own))
                 back, times, counts = read_back(gif)
-                grey = np.flatnonzero(counts)
-                feature = ";".join(f"{i:02x}:{counts[i]}" for i in grey)
-                rows.append((doc_id, len(own), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(gif), hashlib.sha256(gif).hexdigest(), len(times), feature))
+                rows.append((doc_id, len(own), gif, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), [{"at": a, "delay": d} for a, d in times], counts.tolist()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names=names)
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, feature string"
+    schema = "doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, frames array<struct<at:long,delay:long>>, histogram array<long>"
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)
 
 
@@ -347,4 +380,18 @@ def frames(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def op6_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media(table(spark, sf_dir, "documents"))
+    found = media(table(spark, sf_dir, "documents"))
+    bins = F.transform("histogram", lambda n, i: F.struct(i.alias("i"), n.alias("n")))
+    told = F.transform(F.filter(bins, lambda b: b["n"] > 0), lambda b: F.concat(F.lower(F.lpad(F.hex(b["i"]), 2, "0")), F.lit(":"), b["n"].cast("string")))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        "payload_bytes",
+        "payload_sha256",
+        "tail_crc32",
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.array_join(told, ";").alias("feature"),
+        "frames",
+        "histogram",
+    )
