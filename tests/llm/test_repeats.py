@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import cases
+import numpy as np
 import pytest
 
 from tidemark.llm import repeats as R
@@ -16,6 +17,22 @@ def test_lpf_array_equals_brute_force():
             assert found == max([0] + [next((k for k in range(len(s) - i + 1) if i + k >= len(s) or s[i + k] != s[j + k]), 0) for j in range(i)])
 
 
+def test_matches_of_chosen_starts_equal_brute_force():
+    rnd = random.Random(4)
+    for k in range(60):
+        length = rnd.choice([1, 5, 8, 20, 64, 200])
+        data = bytes(rnd.choice(b"ab") for _ in range(rnd.randint(length, 400))) if k % 3 else b"ab" * 150
+        starts = np.array(sorted(rnd.sample(range(len(data) - length + 1), rnd.randint(1, min(60, len(data) - length + 1)))))
+        earlier, later = R.matches(np.frombuffer(data, np.uint8), starts, length)
+        shared = lambda i, j: next((n for n in range(length) if data[i + n] != data[j + n]), length)  # noqa: E731, B023
+        assert earlier.tolist() == [max([0] + [shared(i, j) for j in starts if j < i]) for i in starts]
+        assert later.tolist() == [max([0] + [shared(i, j) for j in starts if j > i]) for i in starts]
+        if length == 200:
+            whole = R.lpf_array(data)
+            every = R.matches(np.frombuffer(data, np.uint8), np.arange(len(data) - length + 1), length)[0]
+            assert every.tolist() == np.minimum(whole[: len(every)], length).tolist()
+
+
 def brute(docs, length, keep):
     at = defaultdict(list)
     for d, t in sorted(docs, key=lambda x: x[0]):
@@ -59,6 +76,16 @@ def test_long_texts_are_cut_without_a_gap(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in found} == {1: (800, 1), 2: (800, 1)}
 
 
+def test_rows_that_share_a_doc_id(spark):
+    rnd = random.Random(2)
+    a, b, c = ("".join(rnd.choices("abcdefgh ", k=600)) for _ in range(3))
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a), (None, c), (None, c[:300] + "#")], "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in R.removed(docs).collect()))
+    assert got == [(0, 301, 300), (0, 600, 300), (1, 600, 0), (1, 600, 600), (2, 600, 600)]
+    first = sorted(((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in R.removed(docs, keep="first").collect()))
+    assert sum(n for *_, n in first) == 900 and (1, 600, 0) in first
+
+
 def test_hard_rows(spark, small):
     found = R.op1_lpf_repeats(spark, small).collect()
     assert len(found) == len(cases.rows())

@@ -3,6 +3,7 @@
 ``lpf_array`` is the longest-previous-factor array of one byte string: the suffixes in
 order, the longest common prefix of neighbours, and for each position its previous and next
 smaller positions in suffix order, of which the better one is its longest earlier match.
+``matches`` is the same for chosen starts of many strings, cut off at a length.
 
 Over a corpus only matches of ``length`` bytes or more count, so each start of a
 ``length``-byte string has to know whether an earlier (LPF) or, if no copy is to stay, a
@@ -11,23 +12,23 @@ later start (the mirrored array) has the same string. That is decided in three s
 1. The least hashed ANCHOR-byte string inside a ``length``-byte string names its bucket, so
    equal strings share a bucket. Consecutive starts with one anchor are a segment (its
    starts and the bytes they reach, less than 2 * length long). One row goes out for each
-   segment, about one for 70 bytes of text, with the hash of its bytes.
-2. Equal segments are counted by hash, with partial sums. Of each kind the first occurrence
+   segment, about one for 70 bytes of text, with the digest of its bytes.
+2. Equal segments are counted by digest, with partial sums. Of each kind the first occurrence
    stays as its representative. The later occurrences repeat as a whole; so do all, if no
    copy is to stay. An anchor with a single kind of segment is settled by that.
 3. An anchor with several kinds has its representatives' bytes cut out of the documents,
-   and suffix order, truncated at ``length`` bytes, shows which starts agree. Neighbours in
-   suffix order are by position among equals, so the previous smaller position with
-   ``length`` bytes in common is the one before, the next larger the one after. An anchor
-   with more than HOT kinds is not gathered: its representatives go through steps 1 to 3
-   again under longer anchors, at last under the whole strings, which have one kind each.
-
-Hashes stand for bytes: 64 bits of the anchor with 64 of the segment.
-
-Null texts are empty. Texts shorter than ``length`` keep all bytes. Repeated rows of one
-doc_id are one document if their texts are equal (their copies then repeat each other);
-doc_id must name one text otherwise; null ones may name several. An empty table gives no rows; other columns are not
-read.
+   and their LPF arrays, cut off at ``length``, tell which starts are found earlier (and,
+   mirrored, later). An anchor with more than HOT kinds is not gathered: its representatives
+   go through steps 1 to 3 again under longer anchors, at last under the whole strings,
+   which have one kind each.
+
+Equal segments are told by 64 bits of BLAKE2 among those of one bucket, whose name is another
+64 bits of hash.
+
+A document is a row's doc_id with its text: rows that share a doc_id and have other texts are
+other documents; rows that are repeated as a whole are copies of each other, and take one
+place in the order. Null texts are empty; null ids come first. Texts shorter than ``length``
+keep all bytes. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, map_arrow, partitions, table
+from tidemark.llm.common import checkpoint, map_arrow, release, table
 
 LENGTH = 200
 ANCHOR = 64
@@ -49,10 +50,8 @@ HOT = 2048
 #: Bytes that are hashed, and that are sorted, at once: bounds a worker's memory.
 CHUNK = 1 << 20
 SORTED = 1 << 19
-#: From here down, numbers made of their texts stand for null doc_ids inside.
-NO_ID = -(1 << 62)
-
-
+#: Stands for a null doc_id inside.
+NO_ID = -(1 << 63)
 
 
 # --- one string ------------------------------------------------------------
@@ -151,9 +150,6 @@ class Rolling:
         np.cumsum(self.words[data] * self.power[: len(data)], out=out[1:])
         return out
 
-    def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mixed((sums[end] - sums[start]) * self.back[start] + (end - start).astype(np.uint64))
-
 
 def _window_min(x: np.ndarray, width: int) -> np.ndarray:
     """Least value of each run of ``width`` values, by doubling."""
@@ -166,15 +162,15 @@ def _window_min(x: np.ndarray, width: int) -> np.ndarray:
     return have
 
 
-def segments(data: np.ndarray, ends: np.ndarray, rolls: tuple[Rolling, Rolling], length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Segments of concatenated texts: (first start, starts, anchor, hash)."""
+def segments(data: np.ndarray, ends: np.ndarray, roll: Rolling, length: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """Segments of concatenated texts: (first start, starts, anchor, digest)."""
     n = len(data) - length + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none.view(np.uint64), none.view(np.uint64)
-    sums = rolls[0].sums(data)
+    sums = roll.sums(data)
     k = len(data) - anchor + 1
-    grams = _mixed((sums[anchor:] - sums[:k]) * rolls[0].back[:k])
+    grams = _mixed((sums[anchor:] - sums[:k]) * roll.back[:k])
     low = np.uint64((1 << 21) - 1)
     keyed = (grams & ~low) | np.arange(k, dtype=np.uint64)
     where = (_window_min(keyed, length - anchor + 1) & low).astype(np.int64)
@@ -189,25 +185,28 @@ def segments(data: np.ndarray, ends: np.ndarray, rolls: tuple[Rolling, Rolling],
         return none, none, none.view(np.uint64), none.view(np.uint64)
     stop = np.flatnonzero(inside & np.concatenate([fresh[1:] | ~inside[1:], [True]]))
     end = stop + length
-    return first, stop - first + 1, grams[where[first]], rolls[1].of(rolls[1].sums(data), first, end)
+    raw, digest = memoryview(data), hashlib.blake2b
+    kinds = b"".join([digest(raw[a:b], digest_size=8).digest() for a, b in zip(first.tolist(), end.tolist(), strict=True)])
+    return first, stop - first + 1, grams[where[first]], np.frombuffer(kinds, np.uint64)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], limit: int = CHUNK) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
-    """Groups of pieces of texts: ids, where each piece begins in its text, bytes, ends.
+    """Groups of pieces of (doc, mark, bytes) rows: whose they are, where each begins in its
+    text, bytes, ends.
 
     A text longer than ``limit`` comes in pieces that overlap by ``LENGTH`` - 1 bytes, so
     that each start of a string lies in exactly one of them with all its bytes.
     """
     ids, begins, held, size = [], [], [], 0
     for batch in batches:
-        for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for doc, mark, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             raw = np.frombuffer(value.as_buffer(), np.uint8) if value.is_valid and len(value.as_buffer()) else np.zeros(0, np.uint8)
             for at in range(0, max(1, len(raw)), limit):
                 piece = raw[at : at + limit + LENGTH - 1]
                 if held and size + len(piece) > limit + LENGTH:
                     yield ids, np.array(begins), np.concatenate(held), np.cumsum([len(p) for p in held])
                     ids, begins, held, size = [], [], [], 0
-                ids.append(doc_id)
+                ids.append((doc, mark))
                 begins.append(at)
                 held.append(piece)
                 size += len(piece)
@@ -215,33 +214,37 @@ def _texts(batches: Iterator[pa.RecordBatch], limit: int = CHUNK) -> Iterator[tu
         yield ids, np.array(begins), np.concatenate(held), np.cumsum([len(p) for p in held])
 
 
-_ROWS = pa.schema([("anchor", pa.int64()), ("kind", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("starts", pa.int32())])
+_ROWS = pa.schema([("anchor", pa.int64()), ("kind", pa.int64()), ("doc", pa.int64()), ("mark", pa.int64()), ("at", pa.int64()), ("starts", pa.int32())])
 
 
-def segment_rows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+def segment_rows(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolls = (Rolling(1), Rolling(2))
+        roll = Rolling(1)
         for ids, begins, data, ends in _texts(batches):
-            first, starts, key, kind = segments(data, ends, rolls, length, anchor)
+            first, starts, key, kind = segments(data, ends, roll, length, anchor)
             own = np.searchsorted(ends, first, side="right")
             at = first - np.concatenate([[0], ends[:-1]])[own] + begins[own]
-            who = pa.array(ids, pa.int64()).take(pa.array(own))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(kind.view(np.int64)), who, pa.array(at), pa.array(starts.astype(np.int32))], schema=_ROWS)
+            who = np.array(ids, np.int64).reshape(-1, 2)[own]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(kind.view(np.int64)), pa.array(who[:, 0]), pa.array(who[:, 1]), pa.array(at), pa.array(starts.astype(np.int32))], schema=_ROWS)
 
-    return map_arrow(docs, run, "anchor long, kind long, doc_id long, at long, starts int")
+    return map_arrow(texts.select("doc", "mark", "bytes"), run, "anchor long, kind long, doc long, mark long, at long, starts int")
 
 
 # --- suffix order of the representatives -----------------------------------
 
 
-def _ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Rank of the first ``length`` bytes at each place, in their order (short at the end)."""
+def _keys(data: np.ndarray, size: int) -> np.ndarray:
+    """The first ``size`` (up to 8) bytes at each place as a number, short ones ended by zeros."""
+    padded = np.concatenate([data, np.zeros(size, np.uint8)])
+    key = np.zeros(len(data), np.uint64)
+    for k in range(size):
+        key = key << np.uint64(8) | padded[k : k + len(data)]
+    return key
+
+
+def _ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """By prefix doubling: (bytes, rank of so many first bytes at each place), to ``length``."""
     n = len(data)
-    padded = np.concatenate([data, np.zeros(length + 8, np.uint8)])
-    key = np.zeros(n, np.uint64)
-    for k in range(min(8, length)):
-        key = key << np.uint64(8) | padded[k : k + n]
-    have = min(8, length)
 
     def dense(keys: np.ndarray) -> np.ndarray:
         order = np.argsort(keys)
@@ -250,29 +253,74 @@ def _ranks(data: np.ndarray, length: int) -> np.ndarray:
         rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]).astype(np.uint64)
         return rank
 
-    rank = dense(key)
+    have = min(8, length)
+    out = [(have, dense(_keys(data, have)))]
     while have < length:
-        step = min(have, length - have)
+        step, rank = min(have, length - have), out[-1][1]
         second = np.zeros(n, np.uint64)
         second[: n - step] = rank[step:] + np.uint64(1) if step < n else 0
-        rank = dense(rank * np.uint64(n + 2) + second)
         have += step
-    return rank
+        out.append((have, dense(rank * np.uint64(n + 2) + second)))
+    return out
 
 
-def repeated_starts(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For ``starts`` (ascending): is its string found at an earlier, at a later start?
+def _common(data: np.ndarray, ranks: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bytes that the strings at ``a`` and ``b`` have in common, up to the length of the ranks.
 
-    In the order of the suffixes, truncated and then by position, a string's previous
-    smaller position stands right before it if any shares all ``length`` bytes, and the next
-    larger right after it.
+    Every size of ranks but the last is 8 times a power of two and is met once at most.
     """
-    rank = _ranks(data, length)[starts]
-    order = np.argsort(rank * np.uint64(len(starts)) + np.arange(len(starts), dtype=np.uint64))
-    same = rank[order][1:] == rank[order][:-1]
-    earlier, later = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
-    earlier[order[1:]] = same
-    later[order[:-1]] = same
+    length, last = ranks[-1]
+    out = np.where(last[a] == last[b], length, 0)
+    todo = np.flatnonzero(out == 0)
+    a, b, n = a[todo], b[todo], len(data)
+    for size, rank in ranks[-2::-1]:
+        inside = (a < n) & (b < n)
+        same = inside & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)])
+        out[todo] += np.where(same, size, 0)
+        a, b = a + np.where(same, size, 0), b + np.where(same, size, 0)
+    padded = np.concatenate([data, np.zeros(length + 8, np.uint8)])
+    going = np.ones(len(todo), bool)
+    for k in range(min(8, length) - 1):
+        going &= padded[a + k] == padded[b + k]
+        out[todo] += going
+    return np.minimum(out, length)
+
+
+def _better(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each place in suffix order: what it has in common with the better one of its
+    previous and next smaller positions. ``common[i]`` is that of i and i - 1.
+
+    All look at their neighbour at once; one that is larger is passed over to the one that it
+    points to itself, which nothing between is smaller than.
+    """
+    best = np.zeros(len(order), np.int64)
+    for side in (1, -1):
+        p = order[::side]
+        shared = common.copy() if side == 1 else np.concatenate([[0], common[:0:-1]])
+        to = np.arange(len(p)) - 1
+        live = np.flatnonzero(to >= 0)
+        while len(live := live[(to[live] >= 0) & (p[to[live]] > p[live])]):
+            over = to[live]
+            less, further = np.minimum(shared[live], shared[over]), to[over]
+            shared[live], to[live] = less, further
+        found = np.where(to >= 0, shared, 0)
+        best = np.maximum(best, found[::side])
+    return best
+
+
+def matches(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For ``starts`` (ascending): the longest string there, up to ``length`` bytes, that is at
+    an earlier one (their LPF array), and that is at a later one (the mirrored array)."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ranks = _ranks(data, length)
+    own = ranks[-1][1][starts]
+    order = np.argsort(own * np.uint64(len(starts)) + np.arange(len(starts), dtype=np.uint64))
+    common = np.zeros(len(starts), np.int64)
+    common[1:] = _common(data, ranks, starts[order[:-1]], starts[order[1:]])
+    earlier, later = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
+    earlier[order] = _better(order, common)
+    later[order] = _better(-order, common)
     return earlier, later
 
 
@@ -287,26 +335,26 @@ def _intervals(marked: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np
     return rows[first], at[first], last - first + 1
 
 
-_MARKS = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("starts", pa.int32())])
+_MARKS = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("at", pa.int64()), ("starts", pa.int32())])
 
 
 def _sorted_marks(cut: DataFrame, length: int, keep: str) -> DataFrame:
-    """Repeated starts of (anchor, doc_id, at, starts, n, bytes) rows, anchors together."""
+    """Repeated starts of (anchor, doc, mark, at, starts, n, bytes) rows, anchors together."""
 
     def settle(rows: list) -> pa.RecordBatch:
-        data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
-        sizes = np.array([len(r[5]) for r in rows])
-        counts = np.array([r[3] for r in rows])
+        data = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
+        sizes = np.array([len(r[6]) for r in rows])
+        counts = np.array([r[4] for r in rows])
         base = np.cumsum(sizes) - sizes
         row = np.repeat(np.arange(len(rows)), counts)
         offset = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        earlier, later = repeated_starts(data, base[row] + offset, length)
-        marked = earlier if keep == "first" else earlier | later
+        earlier, later = matches(data, base[row] + offset, length)
+        marked = earlier >= length if keep == "first" else (earlier >= length) | (later >= length)
         if keep != "first":
-            marked &= np.array([r[4] == 1 for r in rows])[row]  # the others are marked as a whole
-        which, at, n = _intervals(marked, np.array([r[2] for r in rows])[row] + offset, row)
-        who = pa.array([rows[i][1] for i in which], pa.int64())
-        return pa.RecordBatch.from_arrays([who, pa.array(at, pa.int64()), pa.array(n, pa.int32())], schema=_MARKS)
+            marked &= np.array([r[5] == 1 for r in rows])[row]  # the others are marked as a whole
+        which, at, n = _intervals(marked, np.array([r[3] for r in rows])[row] + offset, row)
+        who = np.array([r[1:3] for r in rows], np.int64).reshape(-1, 2)[which]
+        return pa.RecordBatch.from_arrays([pa.array(who[:, 0]), pa.array(who[:, 1]), pa.array(at, pa.int64()), pa.array(n, pa.int32())], schema=_MARKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -316,54 +364,60 @@ def _sorted_marks(cut: DataFrame, length: int, keep: str) -> DataFrame:
                 if r[0] != anchor and size > SORTED:
                     yield settle(held)
                     held, size = [], 0
-                if not held or held[-1][:3] != r[:3]:  # else a repeated row
+                if not held or held[-1][:4] != r[:4]:  # else a repeated row
                     held.append(r)
-                    size += len(r[5])
+                    size += len(r[6])
                 anchor = r[0]
         if held:
             yield settle(held)
 
-    return map_arrow(cut.select("anchor", "doc_id", "at", "starts", "n", "bytes"), run, "doc_id long, at long, starts int")
+    dealt = cut.repartition("anchor").sortWithinPartitions("anchor", "doc", "mark", "at")
+    return map_arrow(dealt.select("anchor", "doc", "mark", "at", "starts", "n", "bytes"), run, "doc long, mark long, at long, starts int")
 
 
-_FINER = "anchor long, kind long, doc_id long, at long, starts int, n long, bytes binary"
+_FINER = "anchor long, kind long, doc long, mark long, at long, starts int, n long, bytes binary"
 
 
 def _finer_rows(cut: DataFrame, length: int, anchor: int) -> DataFrame:
-    """The segments of (doc_id, at, n, bytes) rows under longer anchors, with their bytes."""
+    """The segments of (doc, mark, at, n, bytes) rows under longer anchors, with their bytes."""
 
-    def found(held: list, rolls: tuple[Rolling, Rolling]) -> pa.RecordBatch:
-        data = np.concatenate([np.frombuffer(r[3], np.uint8) for r in held])
-        ends = np.cumsum([len(r[3]) for r in held])
-        first, starts, key, kind = segments(data, ends, rolls, length, anchor)
+    def found(held: list, roll: Rolling) -> pa.RecordBatch:
+        data = np.concatenate([np.frombuffer(r[4], np.uint8) for r in held])
+        ends = np.cumsum([len(r[4]) for r in held])
+        first, starts, key, kind = segments(data, ends, roll, length, anchor)
         own = np.searchsorted(ends, first, side="right")
         offset = first - np.concatenate([[0], ends[:-1]])[own]
         raw = data.tobytes()
+        who = np.array([r[:4] for r in held], np.int64)[own]
         columns = [
             pa.array(key.view(np.int64)),
             pa.array(kind.view(np.int64)),
-            pa.array([held[i][0] for i in own], pa.int64()),
-            pa.array(np.array([r[1] for r in held])[own] + offset, pa.int64()),
+            pa.array(who[:, 0]),
+            pa.array(who[:, 1]),
+            pa.array(who[:, 2] + offset),
             pa.array(starts.astype(np.int32)),
-            pa.array([held[i][2] for i in own], pa.int64()),
+            pa.array(who[:, 3]),
             pa.array([raw[a : a + n + length - 1] for a, n in zip(first.tolist(), starts.tolist(), strict=True)], pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=["anchor", "kind", "doc_id", "at", "starts", "n", "bytes"])
+        return pa.RecordBatch.from_arrays(columns, names=["anchor", "kind", "doc", "mark", "at", "starts", "n", "bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolls = (Rolling(5), Rolling(6))
+        roll = Rolling(5)
         held, size = [], 0
         for batch in batches:
             for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 held.append(r)
-                size += len(r[3])
+                size += len(r[4])
                 if size >= SORTED:
-                    yield found(held, rolls)
+                    yield found(held, roll)
                     held, size = [], 0
         if held:
-            yield found(held, rolls)
+            yield found(held, roll)
+
+    return map_arrow(cut.select("doc", "mark", "at", "n", "bytes"), run, _FINER)
+
 
-    return map_arrow(cut.select("doc_id", "at", "n", "bytes"), run, _FINER)
+PLACE = ("doc", "mark", "at")
 
 
 def _finer_marks(cut: DataFrame, length: int, keep: str, anchors: tuple[int, ...], hot: int) -> DataFrame:
@@ -374,23 +428,29 @@ def _finer_marks(cut: DataFrame, length: int, keep: str, anchors: tuple[int, ...
     settles everything.
     """
     rows = checkpoint(_finer_rows(cut, length, anchors[0]))
-    place = F.struct("doc_id", "at")
+    place = F.struct(*PLACE)
     kinds = rows.groupBy("anchor", "kind").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     kinds = checkpoint(kinds.join(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor"))
     again = F.col("first") != F.col("last")
     wanted = kinds.where(again | (F.col("kinds") > 1))
     met = checkpoint(rows.join(wanted, ["anchor", "kind"]))
+    release(rows)
     copies = met.where(again & ((place != F.col("first")) if keep == "first" else (F.col("n") == 1)))
-    marks = copies.select("doc_id", "at", "starts")
+    marks = copies.select(*PLACE, "starts")
     others = met.where((F.col("kinds") > 1) & (place == F.col("first"))).withColumn("n", F.when(again, F.lit(2).cast("long")).otherwise(F.col("n")))
-    small = others.where(F.col("kinds") <= hot).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "at")
-    marks = marks.unionByName(_sorted_marks(small, length, keep))
-    large = others.where(F.col("kinds") > hot)
+    marks = marks.unionByName(_sorted_marks(others.where(F.col("kinds") <= hot), length, keep))
     if anchors[1:] and not kinds.where(F.col("kinds") > hot).isEmpty():
-        marks = marks.unionByName(_finer_marks(large, length, keep, anchors[1:], hot))
+        marks = marks.unionByName(_finer_marks(others.where(F.col("kinds") > hot), length, keep, anchors[1:], hot))
     return marks
 
 
+def _texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id as it is, and what names a document inside: doc (never null) and the text's hash."""
+    raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    own = F.col("doc_id").cast("long")
+    return docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(NO_ID)).alias("doc"), F.xxhash64(raw).alias("mark"), raw.alias("bytes"))
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """doc_id, bytes (the text) and runs: (at, starts) intervals of repeated starts.
 
@@ -399,35 +459,32 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", anchor: i
     """
     if length > LENGTH or anchor > length:
         raise ValueError(f"length is at most {LENGTH} and anchor at most length")
-    # A doc_id that is never null: joins on it then add no filter, and all of them read one shuffle.
-    raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    key = F.coalesce(F.col("doc_id").cast("long"), NO_ID - F.pmod(F.xxhash64(raw), F.lit(-NO_ID)))
-    texts = docs.select(key.alias("doc_id"), raw.alias("bytes"))
-    rows = segment_rows(texts, length, anchor)
-    # Cut here, so that both sides of the join are plain shuffles, whose hot keys can be split.
-    known = checkpoint(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    rows = checkpoint(rows.join(known, "anchor"))
-    place = F.struct("doc_id", "at", "starts")
-    kinds = rows.groupBy("anchor", "kind").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    kinds = checkpoint(kinds.join(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor"))
-    copies = rows.join(kinds.where("n > 1").select("anchor", "kind", "first"), ["anchor", "kind"])
+    texts = _texts_of(docs)
+    every = checkpoint(segment_rows(texts, length, anchor))
+    # Tables of their own, so that both sides of each join are plain shuffles, whose hot keys can be split.
+    known = checkpoint(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+    rows = checkpoint(every.join(known, "anchor"))
+    release(every, known)
+    counted = checkpoint(rows.groupBy("anchor", "kind").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE, "starts")).alias("first")))
+    many = counted.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    copies = rows.join(counted.where("n > 1").select("anchor", "kind", "first"), ["anchor", "kind"])
     if keep == "first":
-        copies = copies.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
-    marks = copies.select("doc_id", "at", "starts")
-    dealt = texts.repartition(partitions(docs.sparkSession), "doc_id")
-
-    def cut(which: Column, source: DataFrame) -> DataFrame:
-        """Representatives with their bytes."""
-        asked = kinds.where(which).groupBy("first.doc_id").agg(F.collect_list(F.struct("anchor", "first.at", "first.starts", "n")).alias("asked"))
-        own = F.transform("asked", lambda s: F.struct(s["anchor"].alias("anchor"), s["at"].alias("at"), s["starts"].alias("starts"), s["n"].alias("n"), F.substring("bytes", (s["at"] + 1).cast("int"), (s["starts"] + (length - 1)).cast("int")).alias("bytes")))
-        return source.join(asked, "doc_id").select("doc_id", F.explode(own).alias("c")).select("doc_id", "c.*")
-
-    small = cut((F.col("kinds") > 1) & (F.col("kinds") <= hot), dealt).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "at")
-    marks = marks.unionByName(_sorted_marks(small, length, keep))
-    if not kinds.where(F.col("kinds") > hot).isEmpty():
-        marks = marks.unionByName(_finer_marks(cut(F.col("kinds") > hot, texts), length, keep, (anchor + 3 * (length - anchor) // 4, length), hot))
-    found = marks.groupBy("doc_id").agg(F.collect_list(F.struct("at", "starts")).alias("runs"))
-    return dealt.join(found, "doc_id", "left").withColumn("doc_id", F.when(F.col("doc_id") > NO_ID, F.col("doc_id")))
+        copies = copies.where(F.struct(*PLACE) != F.struct(*[F.col(f"first.{c}") for c in PLACE]))
+    marks = checkpoint(copies.select(*PLACE, "starts"))
+    release(rows)
+    # The bytes of the representatives that share an anchor with others.
+    asked = counted.join(many, "anchor").select("anchor", "kinds", "n", "first.*")
+    asked = asked.groupBy("doc", "mark").agg(F.collect_list(F.struct("anchor", "kinds", "n", "at", "starts")).alias("asked"))
+    own = F.transform("asked", lambda s: F.struct(*[s[c].alias(c) for c in ("anchor", "kinds", "n", "at", "starts")], F.substring("bytes", (s["at"] + 1).cast("int"), (s["starts"] + (length - 1)).cast("int")).alias("bytes")))
+    cut = checkpoint(texts.drop("doc_id").join(asked, ["doc", "mark"]).select("doc", "mark", F.explode(own).alias("c")).select("doc", "mark", "c.*"))
+    release(counted)
+    more = _sorted_marks(cut.where(F.col("kinds") <= hot), length, keep)
+    if not cut.where(F.col("kinds") > hot).isEmpty():
+        more = more.unionByName(_finer_marks(cut.where(F.col("kinds") > hot), length, keep, (anchor + 3 * (length - anchor) // 4, length), hot))
+    more = checkpoint(more)
+    release(cut)
+    found = marks.unionByName(more).groupBy("doc", "mark").agg(F.collect_set(F.struct("at", "starts")).alias("runs"))
+    return texts.join(found, ["doc", "mark"], "left").select("doc_id", "bytes", "runs")
 
 
 def removed(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> DataFrame:
