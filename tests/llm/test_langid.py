@@ -43,4 +43,5 @@ def test_hard_rows(spark, model):
     assert all(by[i]["lang_pred"] == "und" and by[i]["score"] == 0 for i in (3, 4, 7)) and by[9]["lang_pred"] == "de"
     assert L.identify(cases.empty(spark), model).count() == 0 and L.fit(cases.empty(spark)) is None
     assert {r["lang_pred"] for r in L.identify(cases.table(spark), None).collect()} == {"und"}
-    assert set(cases.SCHEMA.replace(",", "").split()[::2]) < set(L.identify(cases.table(spark), model, keep=cases.table(spark).columns).columns)
+    whole = L.labelled(cases.table(spark), model)
+    assert whole.columns == ["row", "lang_pred", "score"] and whole.select("row.*").columns == cases.table(spark).columns

@@ -38,6 +38,10 @@ def test_stages_keep_columns_and_take_effect(spark):
     for r in mixing.mix(docs).select("source", "target").distinct().collect():
         assert abs(used.get(r["source"], 0) - r["target"]) <= 1
 
+    extra = cases.EXTRA.replace(",", "").split()[::2]
+    for stage in (spoken, single, clean, mixed):
+        assert all(tuple(r[c] for c in extra) == cases.MORE for r in stage.collect() if r["source"] or r["text"])
+
     empty = cases.empty(spark)
     for name, stage in C.STAGES:
         assert stage(spark, empty, "").count() == 0, name

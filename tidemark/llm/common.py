@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import gc
-import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 import tidemark
+from tidemark.functions.lineage import checkpoint, release, setting  # noqa: F401
 
 # Functions go to the workers as a whole, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(tidemark)
@@ -24,32 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` with batches of at most BATCH_ROWS rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``.
-
-    Only a session that names no folder (a local test) gets a temporary one.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            named = os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
-        context.setCheckpointDir(named)
-    out = df.checkpoint(eager=True)
-    # What earlier rounds shuffled is deleted when the driver forgets it; a driver with little
-    # to do would keep it for long, and loops would fill the executors' disks.
-    gc.collect()
-    context._jvm.System.gc()
-    return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(b.slice(at, BATCH_ROWS) for b in batches for at in range(0, max(1, b.num_rows), BATCH_ROWS))
+
+    return df.mapInArrow(run, schema)
+
+
+def whole(docs: DataFrame) -> Column:
+    """All columns of a row as one struct ``row``: what travels with it cannot clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
 
 def partitions(spark: SparkSession) -> int:

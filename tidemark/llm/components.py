@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint
+from tidemark.llm.common import checkpoint, release
 
-#: Rounds at most; each at least halves the depth of the label trees, so this is never met.
+#: Rounds from which something is wrong: each at least halves the depth of the label trees.
 ROUNDS = 64
+#: Links that one task may hold: few links need few tasks, however many the session has.
+TASK_LINKS = 50_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,10 +18,11 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: each node links its larger neighbours, then
     its smaller ones, to the smallest node it knows. The number of links never grows, a hub
-    is only ever a grouping key with a partial minimum, and few rounds are needed.
+    is only ever a grouping key with a partial minimum, and few rounds are needed. Null ends
+    link to nothing; repeated links and loops count once; no links give no rows.
     """
     edges = checkpoint(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
+    before = _state(edges)
     for _ in range(ROUNDS):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -27,9 +30,14 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         near = large.join(low, "a")
         small = near.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(near.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = checkpoint(small)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        moved = checkpoint(small.coalesce(1 + before[0] // TASK_LINKS))
+        release(edges)
+        edges, state = moved, _state(moved)
         if state == before:
-            break
+            return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
         before = state
-    return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+    raise RuntimeError(f"no components after {ROUNDS} rounds")
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

@@ -1,16 +1,23 @@
-"""Near copies by the Jaccard similarity of word shingles, found exactly.
+"""Near copies: SimHash classes, verified and completed by the Jaccard similarity of word shingles.
 
 A text is the set of its 5-word shingles (all its words if fewer), as 64-bit hashes that
 stand for them; words and case are those of ``simhash``. Two texts link at similarity 4/5 or
-more. A SimHash of 64 bits cannot search that: at 4/5 two of them differ in about ten bits.
-
-Search. All shingles have one order, with those that a sample of texts shows often at its end
-(the sample decides on speed only). Of two sets that link, the first fifths (``prefix``) share
-a shingle, so holders of the same one are candidates; sizes, the place of the shared shingle
-and the bits of the sets (their parities differ in no more places than the sets do) rule
-candidates out, each by an exact bound. The rest is verified on the whole sets.
-
-Dense groups. Equal sets are one node. Then, as in ``simhash``, holders of a shingle are held
+more.
+
+SimHash. The fingerprints of the same shingles go through the generalised pigeonhole search
+of ``simhash``; each text of a class is held against one of the class, and stays with it if
+the sets are 4/5 alike. That contracts nearly all copies, groups of thousands included. At 4/5
+two SimHashes of 64 bits differ in about ten bits, so the search cannot end there.
+
+What is left. All shingles have one order, with those that a sample of texts shows often at
+its end (the sample decides on speed only). Of two sets that link, the first fifths
+(``prefix``) share a shingle, so holders of the same one are candidates; sizes, the place of
+the shared shingle and the bits of the sets (their parities differ in no more places than the
+sets do) rule candidates out, each by an exact bound. The rest is verified on the whole sets.
+A text holds a shingle once, so the rows of one shingle are no more than the texts, a small
+part of all prefixes.
+
+Dense groups. Equal sets are one node. As in ``simhash``, holders of a shingle are held
 against one of them and the links contracted, and the search goes on between different
 components only, where that with most holders of a shingle is not held against itself.
 
@@ -26,11 +33,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, map_arrow
+from tidemark.llm import simhash
+from tidemark.llm.common import checkpoint, map_arrow, release
 from tidemark.llm.components import components
-from tidemark.llm.simhash import _LOWER, _WORDS
+from tidemark.llm.simhash import fold, hashes
 
 SHINGLE = 5
 SEED = 42
@@ -39,20 +48,14 @@ SAMPLE, OFTEN = 64, 0.004
 #: Common shingles at most; more are ordered like rare ones.
 COMMON = 200_000
 LANES = [f"b{i}" for i in range(4)]
+#: Texts that a dense group is held against in a turn; turns go on while they find more links
+#: than one for so many texts.
+CENTRES, FEW = 4, 100
 
 
 def shingles(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """The distinct hashes, ascending."""
-    words = _WORDS.findall((text or "").translate(_LOWER))
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = " ".join(words).encode()
-    ends = np.cumsum(np.fromiter((len(w) if w.isascii() else len(w.encode()) for w in words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    width = min(shingle, len(words))
-    hashed = xxhash.xxh64_intdigest
-    pairs = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    return np.unique(np.fromiter((hashed(joined[a:b], seed) for a, b in pairs), np.uint64, len(words) - width + 1))
+    return np.unique(hashes(text, shingle, seed))
 
 
 def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -91,15 +94,17 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _profiles(texts: DataFrame) -> DataFrame:
-    """Of each row: mark, node (the hash of the set), its size, prefix and bits."""
+    """Of each row: mark, node (the hash of the set), its size, SimHash, prefix and bits."""
     held = texts.sparkSession.sparkContext.broadcast(_common(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = held.value
         for batch in batches:
-            nodes, sizes, firsts, lanes = [], [], [], []
+            nodes, sizes, prints, firsts, lanes = [], [], [], [], []
             for t in batch.column(1):
-                found = shingles(t.as_py())
+                every = hashes(t.as_py(), SHINGLE, SEED)
+                found = np.unique(every)
+                prints.append(fold(every))
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 sizes.append(len(found))
                 firsts.append(prefix(found, common, counts).view(np.int64))
@@ -108,10 +113,10 @@ def _profiles(texts: DataFrame) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
             flat = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
             bits = np.array(lanes, np.int64).reshape(-1, len(LANES))
-            columns = [batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(LANES))]], names=["mark", "node", "n", "prefix", *LANES])
+            columns = [batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(LANES))]], names=["mark", "node", "n", "fp", "prefix", *LANES])
 
-    return map_arrow(texts, run, "mark long, node long, n int, prefix array<long>, " + ", ".join(f"{c} long" for c in LANES))
+    return map_arrow(texts, run, "mark long, node long, n int, fp long, prefix array<long>, " + ", ".join(f"{c} long" for c in LANES))
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -133,15 +138,18 @@ def _possible(a: str, b: str) -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, names: DataFrame) -> DataFrame:
-    """The pairs that are 4/5 alike. Only texts of candidates are hashed again."""
+    """The pairs that are 4/5 alike. Only texts of candidates are hashed again, one for each
+    set; equal texts of a task leave it as one."""
     pairs = checkpoint(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     first = names.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark"))
-    sets = checkpoint(_sets(texts.join(first, "mark").dropDuplicates(["mark"]).select("node", "text")))
+    single = texts.groupBy("mark").agg(F.first("text").alias("text"))
+    sets = checkpoint(_sets(single.join(first, "mark").select("node", "text")))
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
     shared = F.size(F.array_intersect("sa", "sb"))
-    alike = pairs.join(side("a"), "a").join(side("b"), "b").where(9 * shared >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
-    return checkpoint(alike)
+    alike = checkpoint(pairs.join(side("a"), "a").join(side("b"), "b").where(9 * shared >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"))
+    release(pairs, sets)
+    return alike
 
 
 def _merge(labelled: DataFrame, links: DataFrame) -> DataFrame:
@@ -149,12 +157,26 @@ def _merge(labelled: DataFrame, links: DataFrame) -> DataFrame:
     end = lambda x: labelled.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
     roots = links.join(end("a"), "a").join(end("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b")
     found = components(roots).select(F.col("node").alias("root"), F.col("root").alias("to"))
-    return checkpoint(labelled.join(found, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+    moved = checkpoint(labelled.join(found, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+    release(labelled, links)
+    return moved
+
+
+def _class_pairs(nodes: DataFrame, distance: int) -> DataFrame:
+    """Each node of a SimHash class, and the first of the class."""
+    roots = simhash.classes(nodes.select("fp"), distance)
+    held = nodes.select("node", "fp", "n", F.lit(0).alias("pos"), *LANES).join(roots, "fp")
+    first = held.groupBy("root").agg(F.min(F.struct("node", "n", "pos", *LANES)).alias("y"), F.count("*").alias("many")).where("many > 1")
+    return held.alias("x").join(first, "root").where((F.col("x.node") != F.col("y.node")) & _possible("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def _star_pairs(held: DataFrame, turn: int) -> DataFrame:
-    first = held.groupBy("key").agg(F.min_by(F.struct("node", "n", "pos", *LANES), F.xxhash64("node", F.lit(turn))).alias("y"))
-    return held.alias("x").join(first, "key").where((F.col("x.node") != F.col("y.node")) & _possible("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    """Holders of a shingle against one of them, if of other components: CENTRES different ones
+    at most for a group that has many shingles in common."""
+    mark = F.xxhash64("node", F.lit(turn), F.pmod("key", F.lit(CENTRES)))
+    first = held.groupBy("key").agg(F.min_by(F.struct("node", "n", "pos", "root", *LANES), mark).alias("y"))
+    other = (F.col("x.root") != F.col("y.root")) & _possible("x", "y")
+    return held.alias("x").join(first, "key").where(other).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def _other_pairs(held: DataFrame) -> DataFrame:
@@ -167,20 +189,25 @@ def _other_pairs(held: DataFrame) -> DataFrame:
     return pair(minor, F.col("x.node") < F.col("y.node")).unionByName(pair(marked.where("root = major"), F.lit(True))).distinct()
 
 
-def classes(docs: DataFrame, star_turns: int = 2) -> DataFrame:
+def classes(docs: DataFrame, distance: int = simhash.DISTANCE) -> DataFrame:
     """(mark, root) of each distinct text; texts with the same root can be reached from
     each other over links."""
     texts = _texts(docs)
     own = checkpoint(_profiles(texts))
     names = checkpoint(own.select("mark", "node").distinct())
-    nodes = checkpoint(own.groupBy("node").agg(F.min_by(F.struct("n", "prefix", *LANES), "mark").alias("s")).select("node", "s.*"))
-    del own  # what is not needed any more leaves the disk at the next checkpoint
-    held = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
-    shared = held.groupBy("key").agg(F.count("*").alias("holders")).where("holders > 1").select("key")
-    held = checkpoint(held.join(shared, "key").join(nodes.select("node", *LANES), "node"))
-    del nodes, shared
-    labelled = names.select("node", F.col("node").alias("root")).distinct()
-    for turn in range(star_turns):
-        labelled = _merge(labelled, _verified(_star_pairs(held, turn), texts, names))
+    nodes = checkpoint(own.groupBy("node").agg(F.min_by(F.struct("n", "fp", "prefix", *LANES), "mark").alias("s")).select("node", "s.*"))
+    release(own)
+    labelled = checkpoint(nodes.select("node", F.col("node").alias("root")))
+    labelled = _merge(labelled, _verified(_class_pairs(nodes, distance), texts, names))
+    dealt = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key")).repartition("key")
+    shared = dealt.withColumn("holders", F.count("*").over(W.partitionBy("key"))).where("holders > 1").drop("holders")
+    held = checkpoint(shared.join(nodes.select("node", *LANES), "node"))
+    release(nodes)
+    few, turn, found = names.count() // FEW, 0, None
+    while found is None or found > few:
+        links = _verified(_star_pairs(held.join(labelled, "node"), turn), texts, names)
+        found, turn = links.count(), turn + 1
+        labelled = _merge(labelled, links)
     labelled = _merge(labelled, _verified(_other_pairs(held.join(labelled, "node")), texts, names))
+    release(held)
     return names.join(labelled, "node").select("mark", "root")

@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidemark.llm.common import map_arrow, table
+from tidemark.llm.common import map_arrow, table, whole
 
 UNDETERMINED = "und"
 WINDOW = 128
@@ -209,14 +210,14 @@ def fit(docs: DataFrame, label: str = "lang", per_language: int = PER_LANGUAGE)
     return train([t for t, _ in pairs], [label for _, label in pairs]) if pairs else None
 
 
-def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, lang_pred, score for every row, after the columns named in ``keep``.
+def labelled(docs: DataFrame, model: Model | None) -> DataFrame:
+    """(row, lang_pred, score): every row as one struct, with what was found of its text.
 
-    What is kept travels with its row, so that repeated and null ids need no join.
+    What the row holds travels with it, so that repeated and null ids need no join and no
+    column can clash.
     """
-    own = [F.col(c) for c in keep] if keep else [F.col("doc_id").cast("long").alias("doc_id")]
     text = F.when(F.col("text").rlike(r"\p{L}"), F.col("text").cast("string"))
-    rows = docs.select(F.struct(*own).alias("row"), text.alias("read"))
+    rows = docs.select(whole(docs), text.alias("read"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,8 +228,13 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
                     found[i] = said
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["row", "lang_pred", "score"])
 
-    kind = rows.schema["row"].dataType.simpleString()
-    return map_arrow(rows, run, f"row {kind}, lang_pred string, score double").select("row.*", "lang_pred", "score")
+    return map_arrow(rows, run, StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+
+
+def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, lang_pred, score for every row."""
+    found = labelled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    return found.select("row.doc_id", "lang_pred", "score")
 
 
 def op10_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,34 +37,45 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, map_arrow, table
-from tidemark.llm.components import components
+from tidemark.llm.common import checkpoint, map_arrow, release, table
+from tidemark.llm.components import TASK_LINKS, components
 
 BITS = 64
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
-#: Characters whose shingles are hashed at once.
-CHUNK = 1 << 20
+#: Hashes that are folded at once.
+CHUNK = 1 << 16
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of all shingles in order, repeats included."""
     words = _WORDS.findall((text or "").translate(_LOWER))
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = " ".join(words).encode()
     ends = np.cumsum(np.fromiter((len(w) if w.isascii() else len(w.encode()) for w in words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     width = min(shingle, len(words))
     starts, ends = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
-    hashed, counts = xxhash.xxh64_intdigest, np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(starts), CHUNK):
-        h = np.array([hashed(joined[a:b], seed) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)], dtype="<u8")
+    hashed = xxhash.xxh64_intdigest
+    return np.fromiter((hashed(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts))
+
+
+def fold(found: np.ndarray) -> int:
+    """The fingerprint of hashes: a bit is 1 if it is set in over half of them."""
+    counts = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(found), CHUNK):
+        h = found[at : at + CHUNK].astype("<u8")
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(sum(1 << i for i in range(BITS) if 2 * counts[i] > len(starts)))
+    return int.from_bytes(np.packbits(2 * counts > len(found), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return fold(hashes(text, shingle, seed))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -207,10 +218,11 @@ def probe_links(labelled: DataFrame, searched: list[tuple[list[int], int]], dist
     return probing.join(index, same & near).select(F.col("root").alias("a"), F.col("other_root").alias("b")).distinct()
 
 
-def _contract(labelled: DataFrame, links: DataFrame, by: str) -> DataFrame:
-    """New roots of the fingerprints after links between values of column ``by``."""
+def _contract(labelled: DataFrame, links: DataFrame, by: str, n: int) -> DataFrame:
+    """New roots of the ``n`` fingerprints after links between values of column ``by``."""
     found = components(links).select(F.col("node").alias(by), F.col("root").alias("to"))
-    return checkpoint(labelled.join(found, by, "left").select("fp", F.coalesce("to", "root").alias("root")))
+    moved = labelled.join(found, by, "left").select("fp", F.coalesce("to", "root").alias("root"))
+    return checkpoint(moved.coalesce(1 + n // TASK_LINKS))
 
 
 def classes(fps: DataFrame, distance: int = DISTANCE, star_turns: int = 2) -> DataFrame:
@@ -222,8 +234,11 @@ def classes(fps: DataFrame, distance: int = DISTANCE, star_turns: int = 2) -> Da
         return labelled
     searched = plan(n, sums, distance)
     for turn in range(star_turns):
-        labelled = _contract(labelled, stars(labelled, searched, distance, turn), "fp")
-    return _contract(labelled, probe_links(labelled, searched, distance), "root")
+        before, labelled = labelled, _contract(labelled, stars(labelled, searched, distance, turn), "fp", n)
+        release(before)
+    before, labelled = labelled, _contract(labelled, probe_links(labelled, searched, distance), "root", n)
+    release(before, fps)
+    return labelled
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
