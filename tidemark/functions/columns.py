@@ -24,6 +24,40 @@ def decay(name: str, distance: Column, scale: float) -> Column:
     return DECAYS[name](distance, scale)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, kind: str = "bigint", block: int = 64, levels: int = 2) -> Column:
+    """Sums of an array up to and with each element.
+
+    A fold that appends copies what it has at every step, so only blocks are folded, and then
+    the sums of blocks; that stays linear up to block ** (levels + 1) elements and long beyond.
+    """
+
+    def fold(xs: Column) -> Column:
+        start = F.struct(F.lit(0).cast(kind).alias("sum"), F.array().cast(f"array<{kind}>").alias("all"))
+        return F.aggregate(xs, start, lambda a, x: F.struct((a["sum"] + x).cast(kind).alias("sum"), F.concat(a["all"], F.array((a["sum"] + x).cast(kind))).alias("all")))["all"]
+
+    def cut(xs: Column, level: int) -> Column:
+        if not level:
+            return fold(xs)
+
+        def blocks(v: Column) -> Column:
+            many = F.ceil(F.size(v) / F.lit(block)).cast("int")
+            inner = F.transform(F.sequence(F.lit(1), many), lambda b: fold(F.slice(v, (b - 1) * block + 1, F.lit(block))))
+            return let(inner, moved)
+
+        def moved(inner: Column) -> Column:
+            ends = cut(F.transform(inner, lambda x: F.element_at(x, -1)), level - 1)
+            return F.flatten(let(ends, lambda e: F.zip_with(inner, e, lambda x, end: F.transform(x, lambda k: k + (end - F.element_at(x, -1))))))
+
+        return F.when(F.size(xs) > 0, let(xs, blocks)).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return cut(values, levels)
+
+
 def ratio(top: Column, bottom: Column) -> Column:
     """top / bottom where bottom is positive, else 0."""
     return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
