@@ -19,6 +19,7 @@ def test_hard_messages_equal_sql(spark):
     found = Q.link(spark.createDataFrame(HARD, SCHEMA).repartition(3))
     assert rows(found.toArrow()) == sql_rows(con, Q.OP8_SQL)
     by = {(r["conv_id"], r["turn"], r["role"]): r for r in found.collect()}
+    assert [by[1, t, "user"]["position"] for t in (0, 2, 3, 4, 5)] == [1, 3, 4, 7, 5]
     assert by[1, 3, "user"]["root_turn"] == 0 and by[1, 3, "user"]["depth"] == 3 and by[1, 6, "a"]["body"] == "z"
 
 
@@ -29,5 +30,5 @@ def test_table_equals_sql(spark):
 
 def test_nulls_and_no_rows(spark):
     odd = spark.createDataFrame([(None, 0, "u", "> x"), (1, None, "u", "x"), (1, 1, None, "> x")], SCHEMA).withColumn("hash", Q.F.lit(1))
-    assert Q.link(odd).count() == 3
+    assert Q.link(odd).count() == 3 and sorted(str(r["position"]) for r in Q.link(odd).collect()) == ["1", "None", "None"]
     assert Q.link(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -12,12 +12,13 @@ that thousands of messages hold is one row on its side.
 
 A message replies to the latest of the messages that its level-1 quotes link to; without
 such a link it starts a thread. ``root_turn`` is the turn that starts its thread (found by
-pointer doubling) and ``depth`` its distance from there: ordering a conversation by
-(root_turn, turn) gives reply order. ``body`` is the text without quoted lines.
+pointer doubling) and ``depth`` its distance from there. ``position`` is the message's place,
+from 1, in the reply order of its conversation, by (root_turn, turn). ``body`` is the text
+without quoted lines.
 
-Null texts are empty; a null conv_id or turn links to nothing; white space is [ \t-\r].
+Null texts are empty; a null conv_id or turn links to nothing and has no position; white space is [ \t-\r].
 Rows that repeat a (conv_id, turn) are each returned and share that turn's parent, the
-latest of all. An empty table gives no rows; other columns are kept out.
+latest of all, and its position. An empty table gives no rows; other columns are kept out.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, table
+from tidemark.functions.columns import let
+from tidemark.llm.common import checkpoint, release, table
+from tidemark.operators.graph import number
 
 _MARKS = r"^[\x20\x09]*(>[\x20\x09]*)*"
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -47,23 +50,22 @@ def parsed(messages: DataFrame) -> DataFrame:
             _normal(F.regexp_replace(line, _MARKS, "")).alias("text"),
         ),
     )
-    start = F.struct(
-        F.array().cast("array<struct<level:int,text:string,lines:array<string>>>").alias("runs"),
-        F.lit(0).alias("level"),
-        F.array().cast("array<string>").alias("held"),
-    )
 
-    def closed(state: Column) -> Column:
-        run = F.struct(state["level"].alias("level"), F.array_join(state["held"], " ").alias("text"), state["held"].alias("lines"))
-        return F.when(F.size(state["held"]) > 0, F.concat(state["runs"], F.array(run))).otherwise(state["runs"])
+    def runs_of(lines: Column) -> Column:
+        """From where a run starts to where it ends: no step copies what others found."""
+        at = lambda i: F.get(lines, i)
+        every = F.sequence(F.lit(0), F.size(lines) - 1)
+        joins = lambda i, k: F.coalesce((at(k)["text"] != "") & (at(k)["level"] == at(i)["level"]), F.lit(False))
+        starts = F.filter(every, lambda i: (at(i)["text"] != "") & ~joins(i, i - 1))
+        ends = F.filter(every, lambda i: (at(i)["text"] != "") & ~joins(i, i + 1))
+
+        def run(a: Column, b: Column) -> Column:
+            texts = F.transform(F.slice(lines, a + 1, b - a + 1), lambda line: line["text"])
+            return F.struct(at(a)["level"].alias("level"), F.array_join(texts, " ").alias("text"), texts.alias("lines"))
 
-    def step(state: Column, line: Column) -> Column:
-        goes_on = (line["text"] != "") & (line["level"] == state["level"])
-        runs = F.when(goes_on, state["runs"]).otherwise(closed(state))
-        held = F.when(goes_on, F.concat(state["held"], F.array(line["text"]))).when(line["text"] != "", F.array(line["text"])).otherwise(F.array().cast("array<string>"))
-        return F.struct(runs.alias("runs"), line["level"].alias("level"), held.alias("held"))
+        return F.zip_with(starts, ends, run)
 
-    return messages.withColumn("lines", lines).withColumn("runs", F.aggregate("lines", start, step, closed))
+    return messages.withColumn("lines", lines).withColumn("runs", let(F.col("lines"), runs_of))
 
 
 def _hash(text: Column) -> Column:
@@ -84,7 +86,13 @@ def link(messages: DataFrame) -> DataFrame:
     best = met.groupBy("conv_id", "turn", "level", "passage").agg(F.max_by("origin", F.struct(-F.col("rank"), F.col("origin"))).alias("origin"))
     linked = best.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("origin"))).alias("parent_turn"))
     linked = checkpoint(linked)
-    placed = linked.join(_roots(linked.where("parent_turn is not null").select("conv_id", "turn", "parent_turn")), ["conv_id", "turn"], "left")
+    roots = _roots(linked.where("parent_turn is not null").select("conv_id", "turn", "parent_turn"))
+    turns = messages.select("conv_id", "turn").where("conv_id is not null and turn is not null").distinct()
+    placed = turns.join(linked, ["conv_id", "turn"], "left").join(roots, ["conv_id", "turn"], "left").withColumn("root_turn", F.coalesce("root_turn", "turn"))
+    # Numbered over all conversations by ranges of the order, so a long one is no single task.
+    numbered = number(placed, ["conv_id", "root_turn", "turn"], "place")
+    first = numbered.groupBy("conv_id").agg(F.min("place").alias("first"))
+    placed = numbered.join(first, "conv_id").withColumn("position", F.col("place") - F.col("first") + 1)
     quotes = F.filter("runs", lambda r: r["level"] > 0)
     kept = F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["raw"])
     seen = rows.select(
@@ -106,6 +114,7 @@ def link(messages: DataFrame) -> DataFrame:
         "parent_turn",
         F.coalesce("root_turn", "turn").alias("root_turn"),
         F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
+        "position",
         "body",
     )
 
@@ -113,14 +122,14 @@ def link(messages: DataFrame) -> DataFrame:
 def _roots(replies: DataFrame) -> DataFrame:
     """(conv_id, turn, parent_turn) to root_turn and depth, by pointer doubling."""
     at = replies.select("conv_id", "turn", F.col("parent_turn").alias("root_turn"), F.lit(1).cast("long").alias("depth"))
-    for _ in range(DOUBLINGS):
+    for _ in range(DOUBLINGS + 1):
         up = at.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("higher"), F.col("depth").alias("more"))
         moved = at.join(up, ["conv_id", "root_turn"], "left")
-        at = checkpoint(moved.select("conv_id", "turn", F.coalesce("higher", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("higher").isNotNull().alias("moved")))
+        before, at = at, checkpoint(moved.select("conv_id", "turn", F.coalesce("higher", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("higher").isNotNull().alias("moved")))
+        release(before)
         if at.where("moved").isEmpty():
-            break
-        at = at.drop("moved")
-    return at.select("conv_id", "turn", "root_turn", "depth")
+            return at.select("conv_id", "turn", "root_turn", "depth")
+    raise RuntimeError(f"threads of more than 2**{DOUBLINGS} messages")
 
 
 def op8_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,10 +156,13 @@ up AS (SELECT conv_id, turn, parent_turn AS root_turn, 1 AS depth FROM linked WH
        UNION ALL SELECT u.conv_id, u.turn, k.parent_turn, u.depth + 1 FROM up u JOIN linked k ON k.conv_id = u.conv_id AND k.turn = u.root_turn WHERE k.parent_turn IS NOT NULL),
 roots AS (SELECT conv_id, turn, min(root_turn) AS root_turn, max(depth) AS depth FROM up GROUP BY 1, 2),
 q AS (SELECT rid, count(*) FILTER (WHERE level > 0) AS n_quotes, max(level) AS max_level FROM r GROUP BY 1),
+spot AS (SELECT conv_id, turn, dense_rank() OVER (PARTITION BY conv_id ORDER BY root_turn, turn) AS position
+         FROM (SELECT DISTINCT m.conv_id, m.turn, coalesce(s.root_turn, m.turn) AS root_turn FROM m LEFT JOIN roots s ON s.conv_id = m.conv_id AND s.turn = m.turn WHERE m.conv_id IS NOT NULL AND m.turn IS NOT NULL)),
 body AS (SELECT rid, string_agg(raw, chr(10) ORDER BY i) AS body FROM g WHERE level = 0 GROUP BY 1)
 SELECT m.conv_id, m.turn, m.role, CAST(coalesce(q.n_quotes, 0) AS BIGINT) AS n_quotes, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked,
        CAST(coalesce(q.max_level, 0) AS BIGINT) AS max_level, parent_turn, coalesce(root_turn, m.turn) AS root_turn,
-       CAST(coalesce(depth, 0) AS BIGINT) AS depth, coalesce(body.body, '') AS body
+       CAST(coalesce(depth, 0) AS BIGINT) AS depth, CAST(spot.position AS BIGINT) AS position, coalesce(body.body, '') AS body
 FROM m LEFT JOIN q USING (rid) LEFT JOIN body USING (rid)
 LEFT JOIN linked k ON k.conv_id = m.conv_id AND k.turn = m.turn LEFT JOIN roots s ON s.conv_id = m.conv_id AND s.turn = m.turn
+LEFT JOIN spot ON spot.conv_id = m.conv_id AND spot.turn = m.turn
 """
