@@ -2,6 +2,7 @@
 
 import heapq
 import math
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -34,7 +35,25 @@ def test_nearest_tie_goes_to_lowest_fid(spark):
     points = spark.createDataFrame([(1, 1.0, 0.0), (2, 900.0, 0.0)], "fid long, x double, y double")
     assert got(nearest.nearest(points, nodes).select("fid", "node")) == [(1, 3), (2, 3)]
     assert got(nearest.nearest(points, nodes, max_distance=5).select("fid")) == [(1,)]
-    assert nearest.nearest(points, nodes.where("false")).count() == 0
+    assert got(nearest.nearest(points, nodes.where("false"))) == [(1, None, None), (2, None, None)]
+    assert nearest.nearest(points, nodes.where("false"), max_distance=5).count() == 0
+    lost = points.unionByName(spark.createDataFrame([(9, None, 1.0)], "fid long, x double, y double"))
+    assert got(nearest.nearest(lost, nodes).select("fid", "node")) == [(1, 3), (2, 3), (9, None)]
+
+
+def test_nearest_stays_in_its_country(spark):
+    nodes = spark.createDataFrame([("a", 1, 0.0, 0.0), ("b", 2, 5.0, 0.0), ("a", 3, 50.0, 0.0)], "country string, fid long, x double, y double")
+    points = spark.createDataFrame([("a", 1, 6.0, 0.0), ("b", 1, 1.0, 0.0), ("c", 2, 0.0, 0.0)], "country string, fid long, x double, y double")
+    assert got(nearest.nearest(points, nodes, keys=["country"])) == [(1, "a", 1, 36.0), (1, "b", 2, 16.0), (2, "c", None, None)]
+
+
+def test_nearest_of_crowded_nodes(spark):
+    rnd = random.Random(1)
+    nodes = [(i, rnd.gauss(0, 0.001), rnd.gauss(0, 0.001)) for i in range(900)] + [(1000 + i, 1e4 * rnd.random(), 1e4 * rnd.random()) for i in range(50)]
+    points = [(i, rnd.gauss(0, 0.002), rnd.gauss(0, 0.002)) for i in range(60)] + [(100 + i, rnd.uniform(-1e5, 1e5), rnd.uniform(-1e5, 1e5)) for i in range(20)]
+    want = [(i, min(((x - a) * (x - a) + (y - b) * (y - b), k) for k, a, b in nodes)[1]) for i, x, y in points]
+    frame = lambda rows: spark.createDataFrame(rows, "fid long, x double, y double")
+    assert got(nearest.nearest(frame(points), frame(nodes)).select("fid", "node")) == sorted(want, key=repr)
 
 
 @SOME

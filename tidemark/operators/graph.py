@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,8 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 import tidemark.functions.shipping  # noqa: F401
-from tidemark.functions.columns import affected, decay, ratio, tag
-from tidemark.functions.lineage import checkpoint
+from tidemark.functions.columns import affected, decay, let, ratio, running, tag
+from tidemark.functions.lineage import checkpoint, release
+from tidemark.operators.update import overwrite
 
 #: Edges up to which a graph is sent to every executor; larger ones are joined.
 LOCAL_EDGES = 1_000_000
@@ -32,20 +33,23 @@ def with_tags(lines: DataFrame, tags: str = "other_tags") -> DataFrame:
     return lines.withColumn("oneway", F.coalesce(tag(F.col(tags), "oneway") == "yes", F.lit(False))).withColumn("lanes", tag(F.col(tags), "lanes"))
 
 
-def topology(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (fid, x, y) at line ends, numbered by place, and directed edges.
+def topology(lines: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Nodes (fid, keys, x, y) at line ends, numbered by keys and place, and directed edges.
 
     ``lines`` has fid, coords (array of x, y) and oneway; each line is an edge, and unless
-    it is one-way its reverse is another. Parallel edges are numbered by ``key``.
+    it is one-way its reverse is another. Parallel edges are numbered by ``key``. With ``keys``
+    (a country) places of different ones are different nodes; numbers are unique over all, so
+    that one plan serves every country and all that follows needs no key.
     """
+    keys = list(keys)
     first, last = F.col("coords")[0], F.element_at("coords", -1)
-    ends = lines.select(first.alias("p")).unionByName(lines.select(last.alias("p"))).select("p.x", "p.y").distinct()
-    nodes = number(ends, ["x", "y"], "fid")
-    a = nodes.select(F.col("fid").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy"))
-    b = nodes.select(F.col("fid").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"))
+    ends = lines.select(*keys, first.alias("p")).unionByName(lines.select(*keys, last.alias("p"))).select(*keys, "p.x", "p.y").distinct()
+    nodes = number(ends, [*keys, "x", "y"], "fid")
+    a = nodes.select(*keys, F.col("fid").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy"))
+    b = nodes.select(*keys, F.col("fid").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"))
     known = lines.withColumns({"ux": first["x"], "uy": first["y"], "vx": last["x"], "vy": last["y"]})
-    forward = known.join(a, ["ux", "uy"]).join(b, ["vx", "vy"]).select(F.col("fid").alias("line"), "u", "v", "coords", F.lit(False).alias("reversed"), "oneway")
-    back = forward.where("not oneway").select("line", F.col("v").alias("u"), F.col("u").alias("v"), F.reverse("coords").alias("coords"), F.lit(True).alias("reversed"), "oneway")
+    forward = known.join(a, [*keys, "ux", "uy"]).join(b, [*keys, "vx", "vy"]).select(*keys, F.col("fid").alias("line"), "u", "v", "coords", F.lit(False).alias("reversed"), "oneway")
+    back = forward.where("not oneway").select(*keys, "line", F.col("v").alias("u"), F.col("u").alias("v"), F.reverse("coords").alias("coords"), F.lit(True).alias("reversed"), "oneway")
     edges = forward.unionByName(back)
     key = F.row_number().over(W.partitionBy("u", "v").orderBy("line", "reversed")) - 1
     return nodes, edges.withColumn("key", key).drop("oneway")
@@ -74,14 +78,16 @@ def number(rows: DataFrame, order: list[str], name: str) -> DataFrame:
 
 def _segments(coords: Column) -> Column:
     """Array of (ax, ay, bx, by, start): segments with the length before them."""
-    pairs = F.zip_with(F.slice(coords, F.lit(1), F.size(coords) - 1), F.slice(coords, F.lit(2), F.size(coords) - 1), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
-    start = F.struct(F.lit(0.0).alias("at"), F.array().cast("array<struct<ax:double,ay:double,bx:double,by:double,start:double>>").alias("out"))
+    d = lambda p, c: p[c].cast("double")
+    pair = lambda a, b: F.struct(d(a, "x").alias("ax"), d(a, "y").alias("ay"), d(b, "x").alias("bx"), d(b, "y").alias("by"))
+    pairs = F.zip_with(F.slice(coords, F.lit(1), F.size(coords) - 1), F.slice(coords, F.lit(2), F.size(coords) - 1), pair)
 
-    def step(s: Column, p: Column) -> Column:
-        more = F.struct(p["ax"].cast("double").alias("ax"), p["ay"].cast("double").alias("ay"), p["bx"].cast("double").alias("bx"), p["by"].cast("double").alias("by"), s["at"].alias("start"))
-        return F.struct((s["at"] + F.hypot(p["bx"] - p["ax"], p["by"] - p["ay"])).alias("at"), F.concat(s["out"], F.array(more)).alias("out"))
+    def placed(found: Column) -> Column:
+        sizes = F.transform(found, lambda p: F.hypot(p["bx"] - p["ax"], p["by"] - p["ay"]))
+        before = F.concat(F.array(F.lit(0.0)), running(sizes, "double"))
+        return F.zip_with(found, F.slice(before, F.lit(1), F.size(found)), lambda p, at: F.struct(*[p[c].alias(c) for c in ("ax", "ay", "bx", "by")], at.alias("start")))
 
-    return F.aggregate(pairs, start, step)["out"]
+    return let(pairs, placed)
 
 
 def planar_length(coords: Column) -> Column:
@@ -138,15 +144,17 @@ def labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     Labels spread to neighbours, and each takes its label's own label, until none changes.
     """
     both = checkpoint(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    now = checkpoint(nodes.select("fid", F.col("fid").alias("label")))
+    first = now = checkpoint(nodes.select("fid", F.col("fid").alias("label")))
     while True:
         near = both.join(now.withColumnRenamed("fid", "b"), "b").groupBy("a").agg(F.min("label").alias("low"))
         spread = now.join(near, now["fid"] == near["a"], "left").select("fid", F.col("label").alias("old"), F.least("label", F.coalesce("low", "label")).alias("label"))
         up = now.select(F.col("fid").alias("label"), F.col("label").alias("higher"))
         new = checkpoint(spread.join(up, "label", "left").select("fid", "old", F.least("label", F.coalesce("higher", "label")).alias("label")))
+        release(first)
         if new.where("old <> label").isEmpty():
+            release(both)
             return new.select("fid", "label")
-        now = new.select("fid", "label")
+        first, now = new, new.select("fid", "label")
 
 
 def consolidate(nodes: DataFrame, edges: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
@@ -156,14 +164,20 @@ def consolidate(nodes: DataFrame, edges: DataFrame, tolerance: float) -> tuple[D
     different ones.
     """
     reach = 2.0 * tolerance
-    at = lambda c: F.floor(F.col(c) / reach)
-    own = nodes.select(F.col("fid").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), at("x").alias("cx"), at("y").alias("cy"))
-    around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    other = nodes.select(F.col("fid").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), at("x").alias("x0"), at("y").alias("y0"))
-    other = other.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).select("b", "bx", "by", (F.col("x0") + F.col("dx")).alias("cx"), (F.col("y0") + F.col("dy")).alias("cy"))
+    # All nodes of a cell of this size are in reach of each other: one stands for them, and
+    # only pairs of different cells are compared.
+    side = reach / 1.4142135623730953
+    at = lambda c: F.floor(F.col(c) / side)
+    placed = nodes.select("fid", "x", "y", at("x").alias("cx"), at("y").alias("cy"))
+    placed = checkpoint(placed.join(placed.groupBy("cx", "cy").agg(F.min("fid").alias("cell")), ["cx", "cy"]))
+    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-2, 3) for dy in range(-2, 3) if (dx, dy) > (0, 0) and abs(dx * dy) < 4])
+    own = placed.select("cell", F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy")
+    other = placed.select(F.col("cell").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("cx").alias("x0"), F.col("cy").alias("y0"), F.explode(around).alias("d"))
+    other = other.select("b", "bx", "by", (F.col("x0") + F.col("d.dx")).alias("cx"), (F.col("y0") + F.col("d.dy")).alias("cy"))
     d2 = F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2)
-    links = own.join(other, ["cx", "cy"]).where((F.col("a") < F.col("b")) & (d2 <= reach * reach)).select("a", "b")
-    named = labels(nodes, links)
+    links = own.join(other, ["cx", "cy"]).where(d2 <= reach * reach).select(F.col("cell").alias("a"), "b").distinct()
+    named = labels(placed.where("fid = cell").select("fid"), links).withColumnRenamed("fid", "cell")
+    named = checkpoint(placed.select("fid", "cell").join(named, "cell").select("fid", "label"))
     merged = nodes.join(named, "fid").groupBy("label").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("members")).withColumnRenamed("label", "fid")
     to = lambda end: named.select(F.col("fid").alias(end), F.col("label").alias(f"{end}_new"))
     moved = edges.join(to("u"), "u").join(to("v"), "v").where("u_new <> v_new")
@@ -193,48 +207,95 @@ def reach(sources: DataFrame, edges: DataFrame, limit: float, weight: str = "len
 
 
 def _reach_local(starts: DataFrame, known: pd.DataFrame, limit: float, kind: str) -> DataFrame:
-    order = np.argsort(known["u"].to_numpy(), kind="stable")
-    u, v, w = (known[c].to_numpy()[order] for c in ("u", "v", "w"))
-    heads, first = np.unique(u, return_index=True)
-    ends = np.append(first[1:], len(u))[: len(heads)]
-    held = starts.sparkSession.sparkContext.broadcast((heads, first, ends, v, w))
+    ids, ends = np.unique(np.concatenate([known["u"].to_numpy(), known["v"].to_numpy()]), return_inverse=True)
+    u, v = ends[: len(known)], ends[len(known) :]
+    w = known["w"].to_numpy()
+    order = np.lexsort((w, u))
+    v, w = v[order], w[order]
+    first = np.searchsorted(u[order], np.arange(len(ids) + 1))
+    spark = starts.sparkSession
+    held = spark.sparkContext.broadcast((ids, first, v, w))
+    crowded = len(known) > CROWDED * max(1, len(ids))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        heads, first, ends, v, w = held.value
-        row = {int(h): (int(a), int(b)) for h, a, b in zip(heads, first, ends, strict=True)}
-        to, cost = v.tolist(), w.tolist()
+        ids, first, v, w = held.value
+        search = _dense_search if crowded else _sparse_search
+        graph = (first, v, w) if crowded else (first.tolist(), v.tolist(), w.tolist())
         for pdf in batches:
-            out: list[tuple] = []
-            for src in pdf["src"].tolist():
-                best, heap = {src: 0}, [(0, src)]
-                while heap:
-                    d, node = heapq.heappop(heap)
-                    if d > best[node]:
-                        continue
-                    a, b = row.get(node, (0, 0))
-                    for k in range(a, b):
-                        far = d + cost[k]
-                        if far <= limit and (to[k] not in best or far < best[to[k]]):
-                            best[to[k]] = far
-                            heapq.heappush(heap, (far, to[k]))
-                out += [(src, n, d) for n, d in best.items()]
-            yield pd.DataFrame(out, columns=["src", "node", "d"])
-
-    return starts.mapInPandas(run, f"src long, node long, d {kind}")
+            sources = pdf["src"].to_numpy()
+            where = np.searchsorted(ids, sources)
+            for src, at in zip(sources.tolist(), where.tolist(), strict=True):
+                if at < len(ids) and ids[at] == src:
+                    found, d = search(at, *graph, limit)
+                    yield pd.DataFrame({"src": src, "node": ids[found], "d": d})
+                else:
+                    yield pd.DataFrame({"src": [src], "node": [src], "d": [0]})
+
+    # Searches are long and their rows short, so they are dealt out however few rows there are.
+    return starts.repartition(4 * spark.sparkContext.defaultParallelism, "src").mapInPandas(run, f"src long, node long, d {kind}")
+
+
+#: Edges a node from which neighbours are looked at all at once.
+CROWDED = 32
+
+
+def _sparse_search(src: int, first: list, to: list, cost: list, limit: float) -> tuple[list, list]:
+    """Dijkstra's search; a node's edges come by cost, so the first one too long ends them."""
+    best, heap = {src: 0}, [(0, src)]
+    while heap:
+        d, node = heapq.heappop(heap)
+        if d > best[node]:
+            continue
+        for k in range(first[node], first[node + 1]):
+            far = d + cost[k]
+            if far > limit:
+                break
+            if to[k] not in best or far < best[to[k]]:
+                best[to[k]] = far
+                heapq.heappush(heap, (far, to[k]))
+    return list(best), list(best.values())
+
+
+def _dense_search(src: int, first: np.ndarray, to: np.ndarray, cost: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same, a node's edges at once."""
+    best = np.full(len(first) - 1, np.inf)
+    best[src] = 0
+    heap = [(0, src)]
+    while heap:
+        d, node = heapq.heappop(heap)
+        if d > best[node]:
+            continue
+        a, b = first[node], first[node + 1]
+        far = cost[a:b] + d
+        ends = to[a:b]
+        good = np.flatnonzero((far <= limit) & (far < best[ends]))
+        if len(good):
+            ends, far = ends[good], far[good]
+            best[ends] = far
+            for pair in zip(far.tolist(), ends.tolist(), strict=True):
+                heapq.heappush(heap, pair)
+    found = np.flatnonzero(best <= limit)
+    return found, best[found].astype(cost.dtype)
 
 
 def _reach_joined(starts: DataFrame, flat: DataFrame, limit: float, kind: str) -> DataFrame:
-    best = checkpoint(starts.select("src", F.col("src").alias("node"), F.lit(0).cast(kind).alias("d")))
-    front = best
+    """Rounds write what they change and nothing else; the best of all rounds is taken at the end.
+
+    A round reads the pairs that it reached again from the earlier ones by a semi-join, which
+    sends the round's own pairs around while they are few.
+    """
+    front = checkpoint(starts.select("src", F.col("src").alias("node"), F.lit(0).cast(kind).alias("d")))
+    rounds = front
+    pair = ["src", "node"]
     while True:
-        step = front.join(flat, front["node"] == flat["u"]).select("src", F.col("v").alias("node"), (F.col("d") + F.col("w")).alias("d")).where(F.col("d") <= limit)
-        step = step.groupBy("src", "node").agg(F.min("d").alias("d"))
-        old = best.withColumnRenamed("d", "old")
-        both = checkpoint(step.join(old, ["src", "node"], "full").select("src", "node", "old", F.coalesce(F.least("d", "old"), "d", "old").alias("d")))
-        front = both.where(F.col("old").isNull() | (F.col("d") < F.col("old"))).select("src", "node", "d")
-        best = both.select("src", "node", "d")
+        step = front.join(flat, front["node"] == flat["u"]).select("src", F.col("v").alias("node"), (F.col("d") + F.col("w")).cast(kind).alias("d")).where(F.col("d") <= limit)
+        step = checkpoint(step.groupBy(*pair).agg(F.min("d").alias("d")))
+        old = rounds.join(step.select(*pair), pair, "left_semi").groupBy(*pair).agg(F.min("d").alias("old"))
+        front = checkpoint(step.join(old, pair, "left").where("old is null or d < old").select(*pair, "d"))
+        release(step)
         if front.isEmpty():
-            return best
+            return rounds.groupBy(*pair).agg(F.min("d").alias("d"))
+        rounds = rounds.unionByName(front)
 
 
 # --- access ----------------------------------------------------------------
@@ -270,3 +331,15 @@ def access(nodes: DataFrame, edges: DataFrame, d0: float, decay_name: str = "Gau
     a = linked.join(r.withColumnRenamed("fid", "src"), "src").groupBy("node").agg(F.sum(F.col("r") * F.col("f")).alias("a")).withColumnRenamed("node", "fid")
     base = nodes.select("fid", ((F.col(demand) != 0) & F.col(demand).isNotNull()).alias("asks"))
     return base.join(r, "fid", "left").join(a, "fid", "left").select("fid", "r", F.when(F.col("asks"), F.coalesce("a", F.lit(0.0))).alias("a"))
+
+
+#: Names of the two runs that are written back: before and after a flood.
+RUNS = ("noFlooding", "afterFlooding")
+
+
+def write_back(nodes: DataFrame, found: DataFrame, run: str) -> DataFrame:
+    """Nodes with the columns ``R_<run>`` and ``A_<run>`` of an access result: rows that it does
+    not name get null, and columns of other runs stay."""
+    names = [f"R_{run}", f"A_{run}"]
+    have = nodes.withColumns({n: F.lit(None).cast("double") for n in names if n not in nodes.columns})
+    return overwrite(have, found.select("fid", F.col("r").alias(names[0]), F.col("a").alias(names[1])), "fid", names)
