@@ -4,6 +4,7 @@ import heapq
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -186,4 +187,80 @@ def test_projection_round_trip(spark):
     x, y = C.reproject(*C.reproject(F.col("x"), F.col("y"), "EPSG:4326", "EPSG:3857"), "EPSG:3857", "EPSG:4326")
     assert [round(v, 9) for v in df.select(x, y).first()] == [12.5, 48.25]
     with pytest.raises(ValueError):
-        C.reproject(F.col("x"), F.col("y"), "EPSG:4326", "EPSG:32633")
+        C.reproject(F.col("x"), F.col("y"), "EPSG:4326", "EPSG:2154")
+
+
+def test_utm(spark):
+    df = spark.createDataFrame([(15.0, 45.0), (13.4, 52.5), (17.9, 0.0)], "x double, y double")
+    east, north = C.reproject(F.col("x"), F.col("y"), "EPSG:4326", "EPSG:32633")
+    # The meridian arc from the equator to 45 degrees is 4984944.378 m.
+    first = df.select(east.alias("e"), north.alias("n")).first()
+    assert first["e"] == pytest.approx(500000, abs=1e-6) and first["n"] == pytest.approx(0.9996 * 4984944.378, abs=2e-3)
+    for code in ("EPSG:32633", "EPSG:32733"):
+        back = C.reproject(*C.reproject(F.col("x"), F.col("y"), "EPSG:4326", code), code, "EPSG:4326")
+        assert all(abs(r["a"] - r["x"]) < 1e-9 and abs(r["b"] - r["y"]) < 1e-9 for r in df.select("x", "y", back[0].alias("a"), back[1].alias("b")).collect())
+
+
+def test_updates_never_add_rows(spark):
+    t = spark.createDataFrame([(1, 5, "q"), (2, 6, "q"), (2, 7, "q")], "fid int, v int, new string")
+    u = spark.createDataFrame([(1, 51, "x"), (1, 50, "y"), (2, 9, "z"), (None, 1, "n")], "fid int, v int, k string")
+    for f in (update.update_from, update.overwrite):
+        assert got(f(t, u, "fid", ["v"])) == [(1, 50, "q"), (2, 9, "q"), (2, 9, "q")]
+    assert got(update.fill_null_in(t, u, "fid", "v")) == [(1, 5, "q"), (2, 6, "q"), (2, 7, "q")]
+
+
+def test_zonal_max_leaves_nan_out(spark):
+    nan = float("nan")
+    lines = spark.createDataFrame([(1, 0, 0, 2, 0), (2, 0, 1, 0, 1)], "fid int, c0 int, r0 int, c1 int, r1 int")
+    cells = spark.createDataFrame([(9, 0, 0, 3.0), (9, 0, 1, nan), (8, 0, 2, nan), (9, 1, 0, nan)], "event int, r int, c int, days double")
+    assert got(raster.zonal_max(lines, cells, "days")) == [(1, 3.0), (2, 0.0)]
+    assert got(raster.zonal_max(lines, cells, "days", ["event"])) == [(1, 9, 3.0)]
+
+
+def test_lines_in_coordinates_meet_cells(spark):
+    # Cells of 0.5 by 0.5 from (10, 20) down; the first part turns, the second is one place.
+    parts = [line((10.1, 19.9), (11.6, 19.3), (11.6, 18.1)), line((14.2, 15.2))]
+    lines = spark.createDataFrame([(1, parts), (2, [])], f"fid int, parts array<{LINE}>")
+    cells = got(raster.polyline_cells(lines, (10.0, 0.5, 20.0, -0.5), "fid"))
+    assert cells == [(1, 0, 0), (1, 0, 1), (1, 1, 2), (1, 1, 3), (1, 2, 3), (1, 3, 3), (1, 9, 8)]
+    assert got(raster.polyline_cells(lines, (10.0, 0.5, 20.0, -0.5), "fid", size=(4, 3))) == cells[:5]
+    assert raster.extent((10.0, 0.5, 20.0, -0.5), 4, 6) == (10.0, 17.0, 12.0, 20.0)
+
+
+def test_regions_touch_at_corners(spark):
+    cells = spark.createDataFrame([(0, 0), (1, 1), (1, 2), (5, 5), (6, 4), (9, 9)], "r long, c long")
+    assert got(raster.regions(cells)) == [(0, 0, 1), (1, 1, 1), (1, 2, 1), (5, 5, 4), (6, 4, 4), (9, 9, 6)]
+
+
+def test_countries_are_graphs_of_their_own(spark):
+    lines = spark.createDataFrame([("a", 1, line((0, 0), (1, 0)), False), ("b", 2, line((0, 0), (1, 0)), True)], f"country string, fid long, coords {LINE}, oneway boolean")
+    nodes, edges = graph.topology(lines, ["country"])
+    assert got(nodes.select("country", "fid")) == [("a", 1), ("a", 2), ("b", 3), ("b", 4)]
+    assert got(edges.select("country", "u", "v")) == [("a", 1, 2), ("a", 2, 1), ("b", 3, 4)]
+
+
+def test_tables_and_ids(spark):
+    t = spark.createDataFrame([(1, 5), (2, 6)], "fid int, v int")
+    assert got(update.lookup(t, spark.createDataFrame([(2,), (2,)], "fid int"))) == [(2, 6)] and update.introspect(t) == [("fid", "int"), ("v", "int")]
+    update.stage(t, "staged")
+    assert spark.sql("select count(*) from staged").first()[0] == 2
+    update.drop_table(spark, "staged")
+    assert not spark.catalog.tableExists("staged")
+    listing = spark.createDataFrame([('[{"id":"7","country":"Chad"},{"id":"8","country":"Congo"},{"id":"9","country":"Chad"}]',)], "body string")
+    known = catalog.population_ids(listing)
+    names = spark.createDataFrame([("Chad",), ("Congo, Rep.",), ("Mars",)], "country string")
+    assert got(catalog.with_ids(names, known)) == [("Chad", "7"), ("Congo, Rep.", "8"), ("Mars", None)]
+    shapes = spark.createDataFrame([([line((0, 0), (1, 1))],), ([line((0, 0), (0, 0))],), ([],), (None,), ([line((0, 0), (float("nan"), 1))],)], f"parts array<{LINE}>")
+    assert [r[0] for r in shapes.select(C.valid_lines(F.col("parts"))).collect()] == [True, False, False, False, False]
+
+
+def test_dense_and_sparse_searches_agree():
+    rnd = random.Random(2)
+    edges = {(rnd.randrange(30), rnd.randrange(30)): rnd.randint(1, 9) for _ in range(300)}
+    rows = sorted((u, w, v) for (u, v), w in edges.items())
+    first = np.searchsorted([u for u, *_ in rows], np.arange(31))
+    to, cost = np.array([v for *_, v in rows]), np.array([w for _, w, _ in rows])
+    for src in range(30):
+        a = dict(zip(*graph._sparse_search(src, first.tolist(), to.tolist(), cost.tolist(), 7), strict=True))
+        b = {int(k): int(d) for k, d in zip(*graph._dense_search(src, first, to, cost, 7), strict=True)}
+        assert a == b

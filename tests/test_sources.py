@@ -24,6 +24,113 @@ def test_tiff_round_trip(kind, tile, predictor):
     assert (h.width, h.height, h.bands, h.transform, h.nodata, h.crs) == (37, 70, 2, GRID, -99999, "EPSG:4326")
 
 
+def lzw_packed(raw):
+    """LZW by the book, highest bit first."""
+    bits, n = 0, 0
+    known, width = {bytes([i]): i for i in range(256)}, 9
+
+    def put(code):
+        nonlocal bits, n
+        bits, n = bits << width | code, n + width
+
+    put(256)
+    held = b""
+    for b in raw:
+        longer = held + bytes([b])
+        if longer in known:
+            held = longer
+            continue
+        put(known[held])
+        known[longer] = len(known) + 2
+        if len(known) + 2 > 4094:
+            width = 12
+            put(256)
+            known, width = {bytes([i]): i for i in range(256)}, 9
+        else:
+            width = max(9, (len(known) + 2).bit_length())
+        held = bytes([b])
+    if held:
+        put(known[held])
+        width = min(12, max(9, (len(known) + 3).bit_length()))
+    put(257)
+    return (bits << -n % 8).to_bytes((n + 7) // 8, "big")
+
+
+def test_unpacking():
+    rng = np.random.default_rng(3)
+    for top, n in ((2, 9000), (256, 9000), (3, 1), (5, 300)):
+        raw = rng.integers(0, top, n).astype("u1").tobytes()
+        assert geotiff.lzw(lzw_packed(raw)) == raw
+    assert geotiff.packbits(bytes([254, 170, 2, 128, 0, 42, 253, 170, 128, 0, 7])) == bytes([170] * 3 + [128, 0, 42] + [170] * 4 + [7])
+
+
+def as_big(data):
+    """A little-endian file of one strip or more as a BigTIFF."""
+    import struct
+
+    at = struct.unpack("<I", data[4:8])[0]
+    entries, more = [], b""
+    n = struct.unpack("<H", data[at : at + 2])[0]
+    start = 16 + len(data)
+    table = 8 + 20 * n + 8
+    for k in range(n):
+        tag, kind, many, raw = struct.unpack("<HHI4s", data[at + 2 + 12 * k : at + 14 + 12 * k])
+        size = geotiff.TYPES[kind][1] * many
+        value = raw[:size] if size <= 4 else data[(o := struct.unpack("<I", raw)[0]) : o + size]
+        if tag in (geotiff.STRIPS, geotiff.TILES):
+            kind, value = 16, struct.pack(f"<{many}Q", *[p + 16 for p in struct.unpack(f"<{many}I", value)])
+        place = value.ljust(8, b"\0") if len(value) <= 8 else struct.pack("<Q", start + table + len(more))
+        more += value if len(value) > 8 else b""
+        entries.append(struct.pack("<HHQ", tag, kind, many) + place)
+    return b"II" + struct.pack("<HHHQ", 43, 8, 0, start) + data + struct.pack("<Q", n) + b"".join(entries) + bytes(8) + more
+
+
+@pytest.mark.parametrize("tile", [None, 16])
+def test_big_files_and_windows(tile):
+    bands = np.random.default_rng(2).integers(0, 100, (2, 70, 37)).astype("i4")
+    big = as_big(geotiff.write(bands, GRID, tile, 2, nodata=-1))
+    h = geotiff.header(big)
+    assert (h.width, h.height, h.transform, h.nodata) == (37, 70, GRID, -1) and (geotiff.read(big, 2) == bands[1]).all()
+    cut = np.zeros((70, 37), "i4")
+    for r, c, v in geotiff.blocks(big, 1, (5, 3, 40, 20)):
+        cut[r : r + v.shape[0], c : c + v.shape[1]] = v
+    want = np.zeros((70, 37), "i4")
+    want[5:40, 3:20] = bands[0, 5:40, 3:20]
+    assert (cut == want).all()
+
+
+def test_broken_files_are_rows(spark):
+    good = geopackage.write({"edges": ([("length", "REAL")], [(5.0, [[(0.0, 0.0), (1.0, 1.0)]])], False)}, srs=32650)
+    files = spark.createDataFrame([("a", bytearray(good)), ("b", bytearray(b"junk"))], "path string, content binary")
+    found = {r["path"]: (r["fid"], r["length"], r["error"] is None) for r in readers.vector_layer(files, {"length": "double"}, errors=True).collect()}
+    assert found == {"a": (1, 5.0, True), "b": (None, None, False)}
+    assert [tuple(r) for r in readers.layer_info(files.where("path = 'a'")).collect()] == [("a", 0, "edges", "LINESTRING", "EPSG:32650")]
+
+
+def test_geojson_lines(spark):
+    texts = [
+        '{"type":"FeatureCollection","features":[{"type":"Feature","id":7,"properties":{"highway":"trunk"},"geometry":{"type":"LineString","coordinates":[[1,2],[3.5,4]]}},{"type":"Feature","properties":{},"geometry":{"type":"Point","coordinates":[1,2]}}]}',
+        '{"type":"Feature","properties":{"highway":"primary"},"geometry":{"type":"MultiLineString","coordinates":[[[0,0],[1,0]],[[5,5],[6,6,9]]]}}',
+    ]
+    rows = readers.geojson(spark.createDataFrame([(t,) for t in texts], "value string"), {"highway": "string"}).collect()
+    plain = sorted(((r["fid"], r["highway"], None if r["parts"] is None else [[tuple(p) for p in part] for part in r["parts"]]) for r in rows), key=repr)
+    assert plain == [(7, "trunk", [[(1.0, 2.0), (3.5, 4.0)]]), (None, "primary", [[(0.0, 0.0), (1.0, 0.0)], [(5.0, 5.0), (6.0, 6.0)]]), (None, None, None)]
+
+
+def test_flooded_points_from_csv(spark, tmp_path):
+    (tmp_path / "evcs.csv").write_text("fid,values\n1,0\n2,3.5\n3,\n")
+    assert [tuple(r) for r in readers.points_csv(spark, str(tmp_path / "evcs.csv")).collect()] == [(1, 0.0), (2, 3.5), (3, None)]
+
+
+def test_appends_at_the_same_time(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    p = Progress(spark, str(tmp_path / "log"), "x")
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda k: p.append(spark.createDataFrame([(f"k{k}", "i")], "key string, item string")), range(12)))
+    assert len(p) == 12
+
+
 def test_geopackage_round_trip():
     nodes = [("a", [[(1.0, 2.0)]]), (None, [[(3.0, 4.0)]])]
     edges = [(5, [[(0.0, 0.0), (1.0, 1.0)]]), (6, [[(0.0, 0.0), (1.0, 0.0)], [(2.0, 2.0), (3.0, 3.0)]])]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -120,12 +121,55 @@ def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(x / r), F.degrees(F.atan(F.exp(y / r)) * 2 - 1.5707963267948966)
 
 
+#: WGS84 and the universal transverse Mercator. Fixed values.
+_A, _FLAT, _SCALE, _EAST = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0
+_N = _FLAT / (2 - _FLAT)
+_MERIDIAN = _SCALE * _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_TO = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180, 13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440, 61 * _N**3 / 240 - 103 * _N**4 / 140, 49561 * _N**4 / 161280)
+_FROM = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360, _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440, 17 * _N**3 / 480 - 37 * _N**4 / 840, 4397 * _N**4 / 161280)
+_LATITUDE = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45, 7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45, 56 * _N**3 / 15 - 136 * _N**4 / 35, 4279 * _N**4 / 630)
+
+
+def utm(x: Column, y: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
+    """Longitude and latitude to metres of a UTM zone, by a series in the third flattening."""
+    e = 2 * _N**0.5 / (1 + _N)
+    phi, lam = F.sin(F.radians(y)), F.radians(x - F.lit(6.0 * zone - 183))
+    t = F.sinh(F.atanh(phi) - e * F.atanh(e * phi))
+    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    east = eta + sum(a * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(_TO, 1))
+    north = xi + sum(a * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, a in enumerate(_TO, 1))
+    return east * _MERIDIAN + _EAST, north * _MERIDIAN + (1e7 if south else 0.0)
+
+
+def from_utm(x: Column, y: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
+    xi, eta = (y - (1e7 if south else 0.0)) / _MERIDIAN, (x - _EAST) / _MERIDIAN
+    up = xi - sum(b * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, b in enumerate(_FROM, 1))
+    over = eta - sum(b * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, b in enumerate(_FROM, 1))
+    chi = F.asin(F.sin(up) / F.cosh(over))
+    phi = chi + sum(d * F.sin(2 * j * chi) for j, d in enumerate(_LATITUDE, 1))
+    return F.degrees(F.atan2(F.sinh(over), F.cos(up))) + (6.0 * zone - 183), F.degrees(phi)
+
+
+def valid_lines(parts: Column) -> Column:
+    """Whether a geometry has parts and each has two places at least, all of them numbers."""
+    good = lambda p: p["x"].isNotNull() & p["y"].isNotNull() & ~F.isnan(p["x"].cast("double")) & ~F.isnan(p["y"].cast("double"))
+    part = lambda p: (F.size(F.array_distinct(p)) > 1) & F.forall(p, good)
+    return F.coalesce((F.size(parts) > 0) & F.forall(parts, part), F.lit(False))
+
+
 def reproject(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
-    """Between EPSG:4326 and EPSG:3857; other systems are refused, not guessed."""
+    """Between EPSG:4326, EPSG:3857 and the UTM zones EPSG:326xx and 327xx; other systems are
+    refused, not guessed."""
     if source == target:
         return x, y
-    if (source, target) == ("EPSG:4326", "EPSG:3857"):
+    for name in (source, target):
+        if name not in ("EPSG:4326", "EPSG:3857") and not (re.fullmatch(r"EPSG:32[67]\d\d", name) and 1 <= int(name[-2:]) <= 60):
+            raise ValueError(f"no transform from {source} to {target}")
+    zone = lambda name: (int(name[-2:]), name[7] == "7")
+    if source == "EPSG:3857":
+        x, y = from_mercator(x, y)
+    elif source != "EPSG:4326":
+        x, y = from_utm(x, y, *zone(source))
+    if target == "EPSG:3857":
         return mercator(x, y)
-    if (source, target) == ("EPSG:3857", "EPSG:4326"):
-        return from_mercator(x, y)
-    raise ValueError(f"no transform from {source} to {target}")
+    return (x, y) if target == "EPSG:4326" else utm(x, y, *zone(target))

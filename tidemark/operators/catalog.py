@@ -76,3 +76,19 @@ def dedup_events(members: DataFrame) -> DataFrame:
 def countries(spark: SparkSession, path: str) -> DataFrame:
     """The country dimension from a CSV with header id, name."""
     return spark.read.schema("id string, name string").option("header", True).csv(path)
+
+
+def population_ids(listings: DataFrame, body: str = "body") -> DataFrame:
+    """(country, id) from JSON lists of the population catalogue; the first entry of a country counts."""
+    each = listings.select(F.posexplode(F.from_json(body, "array<struct<id:string,country:string>>")).alias("n", "e"))
+    return each.groupBy("e.country").agg(F.min_by("e.id", "n").alias("id"))
+
+
+def with_ids(names: DataFrame, known: DataFrame, name: str = "country") -> DataFrame:
+    """Names with the id of the name itself or, without one, of what stands before its first
+    comma; null where neither is known."""
+    short = F.trim(F.element_at(F.split(name, ","), 1))
+    one = known.select(F.col(name).alias("k"), F.col("id").alias("own"))
+    other = known.select(F.col(name).alias("s"), F.col("id").alias("second"))
+    found = names.join(one, F.col(name) == F.col("k"), "left").join(other, short == F.col("s"), "left")
+    return found.select(*names.columns, F.coalesce("own", "second").alias("id"))

@@ -53,6 +53,12 @@ def layers(data: bytes) -> list[tuple[str, str]]:
         return [(n, c) for n, c in db.execute("SELECT c.table_name, g.column_name FROM gpkg_contents c JOIN gpkg_geometry_columns g USING (table_name) ORDER BY c.rowid")]
 
 
+def described(data: bytes) -> list[tuple[str, str, str]]:
+    """(name, geometry type, system) of the feature layers, in order."""
+    with _opened(data) as db:
+        return [(n, g, f"{org}:{code}") for n, g, org, code in db.execute("SELECT c.table_name, g.geometry_type_name, s.organization, s.organization_coordsys_id FROM gpkg_contents c JOIN gpkg_geometry_columns g USING (table_name) JOIN gpkg_spatial_ref_sys s ON s.srs_id = g.srs_id ORDER BY c.rowid")]
+
+
 def rows(data: bytes, layer: str | None = None) -> tuple[list[str], Iterable[tuple]]:
     """Column names and rows of a layer (the first without a name), geometry as parts.
 

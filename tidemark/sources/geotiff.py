@@ -1,4 +1,5 @@
-"""GeoTIFF bytes to bands of tiles and back: strips or tiles, DEFLATE, predictors 1 to 3."""
+"""GeoTIFF and BigTIFF bytes to bands of tiles and back: strips or tiles; none, LZW, DEFLATE or
+PackBits; predictors 1 to 3."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Field types of the format: code to struct letter and size. Fixed values.
-TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 8: ("h", 2), 9: ("i", 4), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8)}
+TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 8: ("h", 2), 9: ("i", 4), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8), 17: ("q", 8), 18: ("Q", 8)}
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284
 PREDICTOR, TILE_W, TILE_H, TILES, TILE_BYTES, FORMAT = 317, 322, 323, 324, 325, 339
 SCALE, TIEPOINT, GEO_KEYS, NODATA = 33550, 33922, 34735, 42113
@@ -50,18 +51,25 @@ class Image:
 
 def header(data: bytes) -> Image:
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
+    magic = struct.unpack(order + "H", data[2:4])[0] if order and len(data) >= 16 else 0
+    if magic not in (42, 43):
         raise ValueError("not a TIFF")
-    at = struct.unpack(order + "I", data[4:8])[0]
+    # Places and counts have 4 bytes, or in a BigTIFF 8.
+    wide, letter = (4, "I") if magic == 42 else (8, "Q")
+    place = lambda at: struct.unpack(order + letter, data[at : at + wide])[0]
+    at = place(4 if magic == 42 else 8)
+    many, size_of_many = (struct.unpack(order + "H", data[at : at + 2])[0], 2) if magic == 42 else (place(at), 8)
     tags: dict[int, tuple] = {}
-    for k in range(struct.unpack(order + "H", data[at : at + 2])[0]):
-        entry = data[at + 2 + 12 * k : at + 14 + 12 * k]
-        tag, kind, n = struct.unpack(order + "HHI", entry[:8])
+    for k in range(many):
+        e = at + size_of_many + (4 + 2 * wide) * k
+        tag, kind = struct.unpack(order + "HH", data[e : e + 4])
+        n = place(e + 4)
         if kind not in TYPES:
             continue
-        letter, size = TYPES[kind]
-        raw = entry[8 : 8 + n * size] if n * size <= 4 else data[(o := struct.unpack(order + "I", entry[8:])[0]) : o + n * size]
-        tags[tag] = (raw,) if letter == "s" else struct.unpack(order + letter * n, raw)
+        form, size = TYPES[kind]
+        start = e + 4 + wide if n * size <= wide else place(e + 4 + wide)
+        raw = data[start : start + n * size]
+        tags[tag] = (raw,) if form == "s" else struct.unpack(order + form * n, raw)
     bands = tags.get(SAMPLES, (1,))[0]
     kind = KINDS.get((tags.get(FORMAT, (1,))[0], tags.get(BITS, (8,))[0]))
     if kind is None:
@@ -69,12 +77,57 @@ def header(data: bytes) -> Image:
     return Image(tags[WIDTH][0], tags[HEIGHT][0], bands, np.dtype(order + kind), order, tags)
 
 
+def lzw(raw: bytes) -> bytes:
+    """LZW as TIFF has it: codes from the highest bit on, one bit more a code before it is needed."""
+    out: list[bytes] = []
+    known: list[bytes] = []
+    held, have, width, last = 0, 0, 9, b""
+    for byte in raw:
+        held, have = (held << 8 | byte) & 0xFFFFFF, have + 8
+        if have < width:
+            continue
+        have -= width
+        code = held >> have & (1 << width) - 1
+        if code == 257:
+            break
+        if code == 256:
+            known, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+            continue
+        if code > len(known) or code == len(known) and not last:
+            raise ValueError("LZW code before its entry")
+        word = known[code] if code < len(known) else last + last[:1]
+        out.append(word)
+        if last and len(known) < 4096:
+            known.append(last + word[:1])
+            width = min(12, max(9, (len(known) + 1).bit_length()))
+        last = word
+    return b"".join(out)
+
+
+def packbits(raw: bytes) -> bytes:
+    """Runs of copied and of repeated bytes."""
+    out, at = bytearray(), 0
+    while at < len(raw):
+        n = raw[at]
+        if n < 128:
+            out += raw[at + 1 : at + 2 + n]
+            at += 2 + n
+        else:
+            out += raw[at + 1 : at + 2] * (257 - n if n > 128 else 0)
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
 def _unpacked(raw: bytes, image: Image, rows: int, cols: int, samples: int) -> np.ndarray:
     """A strip or tile as (rows, cols, samples)."""
     t = image.tags
     compression = t.get(COMPRESSION, (1,))[0]
     if compression in (8, 32946):
         raw = zlib.decompress(raw)
+    elif compression == 5:
+        raw = lzw(raw)
+    elif compression == 32773:
+        raw = packbits(raw)
     elif compression != 1:
         raise ValueError(f"compression {compression}")
     predictor, size = t.get(PREDICTOR, (1,))[0], image.dtype.itemsize
@@ -88,8 +141,12 @@ def _unpacked(raw: bytes, image: Image, rows: int, cols: int, samples: int) -> n
     return np.cumsum(out, axis=1, dtype=out.dtype) if predictor == 2 else out
 
 
-def blocks(data: bytes, band: int = 1):
-    """(first row, first column, values) of each strip or tile of a band, without its padding."""
+def blocks(data: bytes, band: int = 1, window: tuple[int, int, int, int] | None = None):
+    """(first row, first column, values) of each strip or tile of a band, without its padding.
+
+    With ``window`` (first row, first column, row and column after the last) only blocks that
+    meet it are unpacked, and cut to it.
+    """
     image = header(data)
     t = image.tags
     planar = t.get(PLANAR, (1,))[0] == 2
@@ -106,9 +163,13 @@ def blocks(data: bytes, band: int = 1):
     for k in range(across * down):
         r, c = k // across * h, k % across * w
         rows = h if TILES in t else min(h, image.height - r)
+        r0, c0, r1, c1 = window or (0, 0, image.height, image.width)
+        if r >= r1 or c >= c1 or r + rows <= r0 or c + w <= c0:
+            continue
         raw = data[places[first + k] : places[first + k] + sizes[first + k]]
         values = _unpacked(raw, image, rows, w, samples)[..., pick]
-        yield r, c, values[: image.height - r, : image.width - c]
+        top, left = max(r, r0), max(c, c0)
+        yield top, left, values[top - r : min(image.height, r1) - r, left - c : min(image.width, c1) - c]
 
 
 def read(data: bytes, band: int = 1) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,15 +12,15 @@ SCHEMA = "step string, key string, item string"
 
 
 class Progress:
-    """What has been done. Only finished work is written; an append is atomic and two
-    writers do not lose each other's rows."""
+    """What has been done. Only finished work is written, each append to a folder of its own,
+    so that writers at the same time do not meet."""
 
     def __init__(self, spark: SparkSession, path: str, step: str):
         self.spark, self.path, self.step = spark, path, step
 
     def all(self) -> DataFrame:
         try:
-            return self.spark.read.schema(SCHEMA).parquet(self.path)
+            return self.spark.read.schema(SCHEMA).option("recursiveFileLookup", True).parquet(self.path)
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -32,7 +34,7 @@ class Progress:
         return wanted.join(self.done(), ["key", "item"], "left_anti")
 
     def append(self, finished: DataFrame) -> None:
-        finished.select(F.lit(self.step).alias("step"), "key", "item").write.mode("append").parquet(self.path)
+        finished.select(F.lit(self.step).alias("step"), "key", "item").write.parquet(f"{self.path}/{uuid.uuid4().hex}")
 
     def __len__(self) -> int:
         return self.done().count()

@@ -4,6 +4,8 @@ Spark reads will do, and are decoded where their bytes are."""
 from __future__ import annotations
 
 import io
+import sqlite3
+import struct
 import zipfile
 from collections.abc import Iterator
 
@@ -52,10 +54,12 @@ def raster_meta(files: DataFrame) -> DataFrame:
     return map_pandas(files.select("path", "content"), run, META)
 
 
-def raster_cells(files: DataFrame, bands: dict[str, int], keep_zero: bool = False) -> DataFrame:
+def raster_cells(files: DataFrame, bands: dict[str, int], keep_zero: bool = False, window: tuple[int, int, int, int] | None = None) -> DataFrame:
     """(path, r, c, band columns) of (path, content): cells where any band is not zero.
 
-    Blocks are decoded one by one, so a raster never stands in memory as a whole.
+    A file comes as one row, with its packed bytes; blocks are unpacked one by one, and with
+    ``window`` (first row, first column, row and column after the last) only those in it.
+    Rasters too large for a row are kept as tiles (``raster_files``).
     """
     names = list(bands)
 
@@ -64,7 +68,7 @@ def raster_cells(files: DataFrame, bands: dict[str, int], keep_zero: bool = Fals
 
         for pdf in batches:
             for path, content in pdf.itertuples(index=False):
-                for parts in zip(*[geotiff.blocks(content, b) for b in bands.values()], strict=True):
+                for parts in zip(*[geotiff.blocks(content, b, window) for b in bands.values()], strict=True):
                     r0, c0, first = parts[0]
                     values = [p[2].astype(float) for p in parts]
                     some = np.ones(first.shape, bool) if keep_zero else np.any([v != 0 for v in values], axis=0)
@@ -78,25 +82,104 @@ def raster_cells(files: DataFrame, bands: dict[str, int], keep_zero: bool = Fals
     return map_pandas(files.select("path", "content"), run, schema)
 
 
-def vector_layer(files: DataFrame, columns: dict[str, str], layer: str | None = None) -> DataFrame:
+def raster_files(cells: DataFrame, keys: list[str], bands: list[str], affine: tuple[float, float, float, float], tile: int = 256, nodata: float | None = None) -> DataFrame:
+    """(keys, tr, tc, path, content): GeoTIFF tiles, filled with 0, of rasters given by (keys, r, c, bands).
+
+    A tile is one task's work and a file of its own, placed by its own transform, so that no
+    raster is gathered as a whole; tiles without a cell have no file.
+    """
+    x0, dx, y0, dy = affine
+    dealt = cells.select(*keys, F.floor(F.col("r") / tile).cast("long").alias("tr"), F.floor(F.col("c") / tile).cast("long").alias("tc"), "r", "c", *[F.col(b).cast("float").alias(b) for b in bands])
+    n = len(keys)
+
+    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        tr, tc = int(key[n]), int(key[n + 1])
+        out = np.zeros((len(bands), tile, tile), "f4")
+        for k, b in enumerate(bands):
+            out[k, pdf["r"] - tr * tile, pdf["c"] - tc * tile] = pdf[b]
+        data = geotiff.write(out, (x0 + dx * tc * tile, dx, y0 + dy * tr * tile, dy), min(tile, 64), 3, nodata)
+        path = "/".join([*map(str, key[:n]), f"{tr}_{tc}.tif"])
+        return pd.DataFrame([(*key, path, data)], columns=[*keys, "tr", "tc", "path", "content"])
+
+    schema = "".join(f"`{k}` {cells.schema[k].dataType.simpleString()}, " for k in keys) + "tr long, tc long, path string, content binary"
+    return dealt.groupBy(*keys, "tr", "tc").applyInPandas(build, schema)
+
+
+def tile_cells(files: DataFrame, keys: list[str], bands: list[str], tile: int = 256) -> DataFrame:
+    """(keys, r, c, bands) of the tiles that ``raster_files`` made."""
+    cells = raster_cells(files, {b: k for k, b in enumerate(bands, 1)})
+    places = files.select("path", *keys, "tr", "tc")
+    return cells.join(places, "path").select(*keys, (F.col("r") + F.col("tr") * tile).alias("r"), (F.col("c") + F.col("tc") * tile).alias("c"), *bands)
+
+
+def with_meta(rows: DataFrame, meta: DataFrame, key: str = "path") -> DataFrame:
+    """Rows with what ``raster_meta`` tells of their raster: one row a raster, so many to one."""
+    return rows.join(meta.dropDuplicates([key]), key, "left")
+
+
+def layer_info(files: DataFrame) -> DataFrame:
+    """(path, position, layer, geometry, crs) of the layers of GeoPackage files (path, content)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(path, k, *layer) for path, content in pdf.itertuples(index=False) for k, layer in enumerate(geopackage.described(content))]
+            yield pd.DataFrame(found, columns=["path", "position", "layer", "geometry", "crs"])
+
+    return map_pandas(files.select("path", "content"), run, "path string, position int, layer string, geometry string, crs string")
+
+
+def geojson(texts: DataFrame, columns: dict[str, str], value: str = "value") -> DataFrame:
+    """(fid, named properties, parts) of lines in GeoJSON texts: a feature, or a collection of
+    them, in each row. A feature without a line has null parts; fid is its id, if it has one."""
+    point = "array<array<double>>"
+    feature = "struct<id:bigint,properties:struct<" + ",".join(f"`{n}`:{t}" for n, t in columns.items()) + ">,geometry:struct<type:string,coordinates:string>>"
+    kind = f"type string, features array<{feature}>, {feature[7:-1].replace('id:', 'id ', 1).replace(',properties:', ', properties ', 1).replace(',geometry:', ', geometry ', 1)}"
+    read = texts.select(F.from_json(value, kind).alias("j"))
+    own = F.array(F.struct(F.col("j.id").alias("id"), F.col("j.properties").alias("properties"), F.col("j.geometry").alias("geometry")))
+    each = read.select(F.explode(F.when(F.col("j.type") == "FeatureCollection", F.col("j.features")).otherwise(own)).alias("f"))
+    places = lambda c: F.transform(c, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    line = F.array(places(F.from_json("f.geometry.coordinates", point)))
+    lines = F.transform(F.from_json("f.geometry.coordinates", f"array<{point}>"), places)
+    parts = F.when(F.col("f.geometry.type") == "LineString", line).when(F.col("f.geometry.type") == "MultiLineString", lines)
+    return each.select(F.col("f.id").alias("fid"), *[F.col(f"f.properties.`{n}`").alias(n) for n in columns], parts.alias("parts"))
+
+
+def points_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(fid, value) of points under a flood from CSV files with a header fid, values."""
+    return spark.read.option("header", True).csv(path).select(F.col("fid").cast("long").alias("fid"), F.col("values").cast("double").alias("value"))
+
+
+def vector_layer(files: DataFrame, columns: dict[str, str], layer: str | None = None, errors: bool = False) -> DataFrame:
     """(path, fid, named columns, parts) of a layer of GeoPackage files (path, content).
 
-    ``parts`` are arrays of (x, y); columns that a file lacks are null.
+    ``parts`` are arrays of (x, y); columns that a file lacks are null. With ``errors`` a file
+    that cannot be read is one row that says why, and does not end the run of all others.
     """
     names = list(columns)
+    told = ", error string" if errors else ""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in pdf.itertuples(index=False):
-                have, rows = geopackage.rows(content, layer)
+                try:
+                    have, rows = geopackage.rows(content, layer)
+                except (ValueError, sqlite3.Error, struct.error, IndexError) as e:
+                    if not errors:
+                        raise
+                    yield pd.DataFrame([(path, None, *[None] * len(names), None, f"{type(e).__name__}: {e}")], columns=["path", "fid", *names, "parts", "error"])
+                    continue
                 out = pd.DataFrame(list(rows), columns=have)
                 got = pd.DataFrame({"path": [path] * len(out), "fid": out["fid"]})
                 for n in names:
                     got[n] = out[n] if n in out else None
                 got["parts"] = [None if p is None else [[{"x": float(x), "y": float(y)} for x, y in line] for line in p] for p in out["parts"]]
+                if errors:
+                    got["error"] = None
                 yield got
 
-    schema = "path string, fid long" + "".join(f", `{n}` {t}" for n, t in columns.items()) + ", parts array<array<struct<x:double,y:double>>>"
+    schema = "path string, fid long" + "".join(f", `{n}` {t}" for n, t in columns.items()) + ", parts array<array<struct<x:double,y:double>>>" + told
     return map_pandas(files.select("path", "content"), run, schema)
 
 
@@ -121,7 +204,8 @@ def geopackage_files(nodes: DataFrame, edges: DataFrame, node_columns: dict[str,
     """(country, content): a GeoPackage with layers nodes and edges for each country.
 
     ``nodes`` has country, x, y and ``edges`` country, coords, besides the columns named with
-    their SQL types. A country's graph is one file, so it is built in one place.
+    their SQL types. A country's graph is one file, so it is built in one place; graphs too
+    large for a task are kept as Parquet, or cut into tiles named as countries first.
     """
     n = nodes.select("country", F.struct(*node_columns, "x", "y").alias("row")).groupBy("country")
     e = edges.select("country", F.struct(*edge_columns, "coords").alias("row")).groupBy("country")
