@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions.geodesic import geodesic_length
+from tidemark.functions.lineage import folder
 from tidemark.operators import catalog, graph, nearest, raster, update
 from tidemark.plans.fixtures import load, oracle
+from tidemark.sources import readers
+from tidemark.sources.progress import Progress
+from tidemark.streaming.incremental import process_new
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -508,3 +513,228 @@ def country_lookup(t: Tables) -> DataFrame:
 @query("SELECT l.fid, CAST(n.parts AS BIGINT) AS cells FROM fx_lines l JOIN (SELECT fid, greatest(abs(c1-c0), abs(r1-r0))+1 AS parts FROM fx_lines) n USING (fid)", "fx_lines")
 def line_cell_counts(t: Tables) -> DataFrame:
     return raster.line_cells(t.fx_lines, "fid").groupBy("fid").agg(F.count("*").alias("cells"))
+
+
+# --- countries, odd values, repeated keys ----------------------------------
+
+
+@query("WITH n AS (SELECT p.fid, n.fid AS node, (p.x-n.x)*(p.x-n.x)+(p.y-n.y)*(p.y-n.y) AS d2, ROW_NUMBER() OVER (PARTITION BY p.fid ORDER BY (p.x-n.x)*(p.x-n.x)+(p.y-n.y)*(p.y-n.y), n.fid) AS k FROM fx_points p JOIN fx_nodes n ON p.fid%3=n.fid%3) SELECT p.fid, p.fid%3 AS country, CASE WHEN p.fid%10<>0 THEN node END AS node, CASE WHEN p.fid%10<>0 THEN d2 END AS d2 FROM fx_points p LEFT JOIN n ON n.fid=p.fid AND k=1", "fx_points", "fx_nodes")
+def nearest_node_in_country(t: Tables) -> DataFrame:
+    """Points and nodes of three countries; some points have no place."""
+    points = t.fx_points.select("fid", (F.col("fid") % 3).alias("country"), F.when(F.col("fid") % 10 != 0, F.col("x")).alias("x"), "y")
+    return nearest.nearest(points, t.fx_nodes.withColumn("country", F.col("fid") % 3), keys=["country"])
+
+
+@query("WITH tg AS (SELECT fid, pop FROM fx_nodes), up AS (SELECT fid, fid*10+1 AS pop FROM fx_nodes WHERE fid%2=0 UNION ALL SELECT fid, fid*10 FROM fx_nodes WHERE fid%4=0) SELECT fid, coalesce(m, pop) AS pop FROM tg LEFT JOIN (SELECT fid, MIN(pop) AS m FROM up GROUP BY 1) USING (fid)", "fx_nodes")
+def update_repeated_keys(t: Tables) -> DataFrame:
+    n = t.fx_nodes
+    updates = n.where("fid % 2 = 0").select("fid", (F.col("fid") * 10 + 1).alias("pop")).unionByName(n.where("fid % 4 = 0").select("fid", (F.col("fid") * 10).alias("pop")))
+    return update.update_from(n.select("fid", "pop"), updates, "fid", ["pop"])
+
+
+#: Roads of two parts with oblique pieces, in coordinates; their country is a key.
+_ROAD = ("c0+0.25", "r0+0.5", "c0+fid%9+0.75", "r0+fid%7+0.125", "c1+0.625", "r1+0.875", "c1+0.5", "r1+0.5", "c1+0.5-fid%11", "r1+0.5+fid%13")
+_PIECES = ((0, 1, 2, 3), (2, 3, 4, 5), (6, 7, 8, 9))
+_SEG = " UNION ALL ".join(f"SELECT fid, fid%3 AS country, CAST(floor({_ROAD[a]}) AS BIGINT) AS c0, CAST(floor(97-({_ROAD[b]})) AS BIGINT) AS r0, CAST(floor({_ROAD[c]}) AS BIGINT) AS c1, CAST(floor(97-({_ROAD[d]})) AS BIGINT) AS r1 FROM fx_lines" for a, b, c, d in _PIECES)
+_ROADS = f""", sg AS ({_SEG}), sn AS (SELECT *, greatest(abs(c1-c0), abs(r1-r0)) AS n FROM sg),
+ si AS (SELECT *, unnest(range(0, n+1)) AS i FROM sn),
+ rc AS (SELECT DISTINCT fid, country, c0+CASE WHEN n=0 THEN 0 ELSE sign(c1-c0)*((2*i*abs(c1-c0)+n)//(2*n)) END AS c, r0+CASE WHEN n=0 THEN 0 ELSE sign(r1-r0)*((2*i*abs(r1-r0)+n)//(2*n)) END AS r FROM si),
+ mk AS (SELECT event, event%3 AS country, r, c, CASE WHEN days%7=0 AND perm=0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(days*(1-perm) AS DOUBLE) END AS days FROM fx_flood)"""
+
+
+def _roads(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Roads, the cells under them, and flood cells of three countries, some not a number."""
+    p = lambda x, y: F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y"))
+    parts = F.array(F.array(*[p(*_ROAD[k : k + 2]) for k in (0, 2, 4)]), F.array(*[p(*_ROAD[k : k + 2]) for k in (6, 8)]))
+    roads = t.fx_lines.select("fid", (F.col("fid") % 3).alias("country"), parts.alias("parts"))
+    flood = raster.mask(t.fx_flood, "days", "perm").select("event", (F.col("event") % 3).alias("country"), "r", "c", F.when(F.expr("days % 7 = 0 and perm = 0"), float("nan")).otherwise(F.col("days").cast("double")).alias("days"))
+    return roads, raster.polyline_cells(roads, (0.0, 1.0, 97.0, -1.0), "country", "fid"), flood
+
+
+@query(_ROADS + " SELECT country, fid, coalesce(MAX(days) FILTER (WHERE NOT isnan(days)), 0) AS days FROM rc LEFT JOIN mk USING (country, r, c) GROUP BY 1, 2", "fx_lines", "fx_flood")
+def road_max_flood_in_country(t: Tables) -> DataFrame:
+    roads, under, flood = _roads(t)
+    return raster.zonal_max(roads, flood, "days", keys=["country"], under=under)
+
+
+@query(_ROADS + " SELECT country, fid, event, MAX(days) AS days FROM rc JOIN mk USING (country, r, c) WHERE NOT isnan(days) GROUP BY 1, 2, 3", "fx_lines", "fx_flood")
+def road_max_flood_by_event_in_country(t: Tables) -> DataFrame:
+    roads, under, flood = _roads(t)
+    return raster.zonal_max(roads, flood, "days", ["event"], ["country"], under)
+
+
+@query(
+    f"""SELECT n.fid, n.pop, b.r AS "R_noFlooding", b.a AS "A_noFlooding", a.r AS "R_afterFlooding", a.a AS "A_afterFlooding"
+ FROM ({oracle("SELECT fid, pop FROM fx_nodes", "fx_nodes")}) n JOIN ({ORACLES["accessibility_2sfca"]}) b USING (fid) JOIN ({ORACLES["accessibility_after_flood"]}) a USING (fid)"""
+)
+def accessibility_written_back(t: Tables) -> DataFrame:
+    out = t.fx_nodes.select("fid", "pop")
+    for run, after in zip(graph.RUNS, (False, True), strict=True):
+        out = graph.write_back(out, _access(t, after), run)
+    return out
+
+
+# --- formats ---------------------------------------------------------------
+
+_GRID = (10.0, 0.5, 50.0, -0.25)
+
+
+def _tiles(t: Tables) -> DataFrame:
+    return readers.raster_files(t.fx_flood.withColumnRenamed("perm", "water"), ["event"], ["days", "water"], _GRID, 32, -1.0)
+
+
+@query("SELECT event, r, c, CAST(days AS DOUBLE) AS days, CAST(perm AS DOUBLE) AS water FROM fx_flood", "fx_flood")
+def raster_files_round_trip(t: Tables) -> DataFrame:
+    """Cells as GeoTIFF tiles of two bands, and their cells again."""
+    return readers.tile_cells(_tiles(t), ["event"], ["days", "water"], 32)
+
+
+@query(
+    """, tl AS (SELECT DISTINCT event, CAST(r//32 AS BIGINT) AS tr, CAST(c//32 AS BIGINT) AS tc FROM fx_flood)
+SELECT event, tr, tc, 32 AS width, 32 AS height, 2 AS bands, 'float32' AS dtype, 'EPSG:4326' AS crs, CAST(10+0.5*32*tc AS DOUBLE) AS "left", CAST(50-0.25*32*(tr+1) AS DOUBLE) AS bottom, CAST(10+0.5*32*(tc+1) AS DOUBLE) AS "right", CAST(50-0.25*32*tr AS DOUBLE) AS top FROM tl""",
+    "fx_flood",
+)
+def raster_metadata(t: Tables) -> DataFrame:
+    files = _tiles(t)
+    found = readers.with_meta(files.select("event", "tr", "tc", "path"), readers.raster_meta(files))
+    ends = (F.col("x0") + F.col("dx") * F.col("width")).alias("right"), (F.col("y0") + F.col("dy") * F.col("height")).alias("bottom")
+    return found.select("event", "tr", "tc", "width", "height", "bands", "dtype", "crs", F.col("x0").alias("left"), F.col("y0").alias("top"), *ends)
+
+
+@query("SELECT event, r, c, CAST(10+(c+0.5)*0.5 AS DOUBLE) AS x, CAST(50-(r+0.5)*0.25 AS DOUBLE) AS y FROM fx_flood", "fx_flood")
+def cell_centres(t: Tables) -> DataFrame:
+    return t.fx_flood.select("event", "r", "c", C.cell_centre(F.col("c"), *_GRID[:2]).alias("x"), C.cell_centre(F.col("r"), *_GRID[2:]).alias("y"))
+
+
+@query("SELECT 'C' || fid%3 AS country, ROW_NUMBER() OVER (PARTITION BY fid%3 ORDER BY fid) AS fid, fid AS osmid, pop, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, 'EPSG:4326' AS crs FROM fx_nodes", "fx_nodes")
+def geopackage_round_trip(t: Tables) -> DataFrame:
+    """Graphs of three countries as files, and their node layers again."""
+    country = F.concat(F.lit("C"), F.col("fid") % 3).alias("country")
+    nodes = t.fx_nodes.select(country, F.col("fid").alias("osmid"), "pop", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    point = F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), F.struct(F.col("u").cast("double").alias("x"), F.col("v").cast("double").alias("y")))
+    edges = t.fx_edges.select(F.concat(F.lit("C"), F.col("u") % 3).alias("country"), F.col("length").cast("double").alias("length"), point.alias("coords"))
+    files = readers.geopackage_files(nodes, edges, {"osmid": "INTEGER", "pop": "INTEGER"}, {"length": "REAL"}).withColumnRenamed("country", "path")
+    layer = readers.vector_layer(files, {"osmid": "bigint", "pop": "bigint"}, "nodes")
+    crs = readers.layer_info(files).where("layer = 'nodes'").select("path", "crs")
+    order = W.partitionBy("path").orderBy("osmid")
+    return layer.join(crs, "path").select(F.col("path").alias("country"), F.row_number().over(order).cast("long").alias("fid"), "osmid", "pop", F.col("parts")[0][0]["x"].alias("x"), F.col("parts")[0][0]["y"].alias("y"), "crs")
+
+
+@query("SELECT fid, highway, CAST(c0 AS DOUBLE) AS x0, CAST(r0 AS DOUBLE) AS y0, CAST(c1 AS DOUBLE) AS x1, CAST(r1 AS DOUBLE) AS y1, c0<>c1 OR r0<>r1 AS valid FROM fx_lines", "fx_lines")
+def geojson_round_trip(t: Tables) -> DataFrame:
+    p = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    lines = t.fx_lines.select("fid", "highway", F.array(p("c0", "r0"), p("c1", "r1")).alias("coords"))
+    found = readers.geojson(readers.features(lines, ["fid", "highway"]), {"fid": "bigint", "highway": "string"}).toDF("id", "fid", "highway", "parts")
+    a, b = F.col("parts")[0][0], F.element_at(F.col("parts")[0], -1)
+    return found.select("fid", "highway", a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1"), C.valid_lines(F.col("parts")).alias("valid"))
+
+
+@query("SELECT fid, CAST(value AS DOUBLE) AS value, value<>0 AS hit FROM fx_affected", "fx_affected")
+def csv_round_trip(t: Tables) -> DataFrame:
+    path = _scratch(t)
+    readers.write_csv(t.fx_affected.select("fid", F.col("value").alias("values")), path)
+    return readers.points_csv(t.spark, path).withColumn("hit", C.affected(F.col("value")))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def resumed_batches(t: Tables) -> DataFrame:
+    """Files that arrive between two runs: each row is worked on once."""
+    base = _scratch(t)
+    nation = t.nation.select("n_nationkey", "n_name")
+    for k in range(2):
+        nation.where(F.col("n_nationkey") % 2 == k).write.mode("append").parquet(f"{base}/in")
+        for _ in range(2):
+            process_new(t.spark, f"{base}/in", nation.schema, lambda df: df, f"{base}/out", f"{base}/state")
+    return t.spark.read.parquet(f"{base}/out").select("n_nationkey", "n_name")
+
+
+@query("SELECT country AS key, name AS item FROM fx_archives WHERE country NOT IN ('N1','N2')", "fx_archives")
+def progress_left(t: Tables) -> DataFrame:
+    log = Progress(t.spark, _scratch(t), "download")
+    wanted = t.fx_archives.select(F.col("country").alias("key"), F.col("name").alias("item"))
+    log.append(wanted.where("key = 'N1'"))
+    log.append(wanted.where("key in ('N1', 'N2')"))
+    Progress(t.spark, log.path, "merge").append(wanted.where("key = 'N3'"))
+    return log.todo(wanted)
+
+
+def _scratch(t: Tables) -> str:
+    return f"{folder(t.spark)}/tidemark-{uuid.uuid4().hex}"
+
+
+# --- listings, ids, projections --------------------------------------------
+
+_LISTING = "ls AS (SELECT CASE p_size%5 WHEN 0 THEN 'DFO_'||p_partkey||'.tif' WHEN 1 THEN 'run_'||p_partkey||'.py' WHEN 2 THEN 'DFO_'||p_partkey WHEN 3 THEN 'notes_'||p_partkey||'.aux.xml' ELSE 'N'||p_partkey END AS name FROM part)"
+
+
+def _listing(t: Tables) -> DataFrame:
+    key, kind = F.col("p_partkey").cast("string"), F.col("p_size") % 5
+    name = F.when(kind == 0, F.concat(F.lit("DFO_"), key, F.lit(".tif"))).when(kind == 1, F.concat(F.lit("run_"), key, F.lit(".py"))).when(kind == 2, F.concat(F.lit("DFO_"), key)).when(kind == 3, F.concat(F.lit("notes_"), key, F.lit(".aux.xml"))).otherwise(F.concat(F.lit("N"), key))
+    return t.part.select(name.alias("name"))
+
+
+@query(f"WITH {_LISTING} SELECT name FROM ls WHERE NOT ends_with(name, '.xml') AND NOT ends_with(name, '.py') AND name <> 'N5'")
+def listed_files(t: Tables) -> DataFrame:
+    return catalog.files(_listing(t), ("xml",), ("N5",))
+
+
+@query(f"WITH {_LISTING} SELECT name FROM ls WHERE NOT contains(name, '.') AND contains(name, 'DFO') AND contains(name, '1')")
+def listed_folders(t: Tables) -> DataFrame:
+    return catalog.folders(_listing(t), ("DFO", "1"))
+
+
+@query("SELECT 'N' || c_custkey%40 AS country, CASE WHEN c_custkey%40<25 THEN CAST(c_custkey%40 AS VARCHAR) END AS id FROM customer")
+def population_catalogue_ids(t: Tables) -> DataFrame:
+    """Every fifth name has a comma, and is known by what stands before it."""
+    entry = F.struct(F.col("n_nationkey").cast("string").alias("id"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("country"))
+    listings = t.nation.groupBy("n_regionkey").agg(F.to_json(F.collect_list(entry)).alias("body"))
+    short = F.concat(F.lit("N"), (F.col("c_custkey") % 40).cast("string"))
+    names = t.customer.select(F.when(F.col("c_custkey") % 5 == 0, F.concat(short, F.lit(", Rep."))).otherwise(short).alias("country"))
+    return catalog.with_ids(names, catalog.population_ids(listings)).select(F.split("country", ",")[0].alias("country"), "id")
+
+
+@query("SELECT fid, x, y FROM fx_nodes WHERE fid IN (SELECT DISTINCT fid%50+1 FROM fx_points)", "fx_nodes", "fx_points")
+def rows_by_fid(t: Tables) -> DataFrame:
+    return update.lookup(t.fx_nodes.select("fid", "x", "y"), t.fx_points.select((F.col("fid") % 50 + 1).alias("fid")))
+
+
+@query("SELECT country, list_sort(list(DISTINCT replace(o, '-', '_'))) AS days FROM (SELECT 'N' || o_custkey%25 AS country, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o FROM orders) GROUP BY 1")
+def event_days_by_country(t: Tables) -> DataFrame:
+    day = F.replace(F.col("o_orderdate").cast("date").cast("string"), F.lit("-"), F.lit("_"))
+    return t.orders.groupBy(F.concat(F.lit("N"), (F.col("o_custkey") % 25).cast("string")).alias("country")).agg(F.sort_array(F.collect_set(day)).alias("days"))
+
+
+_UTM = ", ".join(f"{a!r} AS a{j}" for j, a in enumerate(C._TO, 1))
+
+
+@query(
+    f""", k AS (SELECT {_UTM}, {2 * C._N**0.5 / (1 + C._N)!r} AS e), g AS (SELECT fid, sin(radians(y*0.5)) AS s, radians(x*0.05-2.5) AS l, k.* FROM fx_nodes, k),
+ h AS (SELECT *, sinh(atanh(s)-e*atanh(e*s)) AS t FROM g), z AS (SELECT *, atan2(t, cos(l)) AS xi, atanh(sin(l)/sqrt(1+t*t)) AS eta FROM h)
+SELECT fid, ROUND(500000+{C._MERIDIAN!r}*(eta+{"+".join(f"a{j}*cos({2 * j}*xi)*sinh({2 * j}*eta)" for j in range(1, 5))}), 3) AS east,
+ ROUND({C._MERIDIAN!r}*(xi+{"+".join(f"a{j}*sin({2 * j}*xi)*cosh({2 * j}*eta)" for j in range(1, 5))}), 3)+0.0 AS north FROM z""",
+    "fx_nodes",
+)
+def utm_points(t: Tables) -> DataFrame:
+    """Nodes as places west and east of 3 degrees, in the zone around it."""
+    east, north = C.reproject(F.col("x") * 0.05 + 0.5, F.col("y") * 0.5, "EPSG:4326", "EPSG:32631")
+    return t.fx_nodes.select("fid", F.round(east, 3).alias("east"), (F.round(north, 3) + 0.0).alias("north"))
+
+
+_B = 6378137.0 * (1 - 1 / 298.257223563)
+ORACLES["geodesic_lengths"] = oracle(
+    f""", q AS (SELECT 1/298.257223563 AS f), m AS (SELECT fid, c0*1.0 AS x0, r0-45.0 AS y0, (c0+c1)/2.0 AS x1, (r0+r1)/2.0-45 AS y1, c1*1.0 AS x2, r1-45.0 AS y2 FROM fx_lines),
+ sg AS (SELECT fid, 1 AS part, x0 AS a, y0 AS b, x1 AS c, y1 AS d FROM m UNION ALL SELECT fid, 2, x1, y1, x2, y2 FROM m),
+ u AS (SELECT fid, part, f, atan((1-f)*tan(radians(b))) AS u1, atan((1-f)*tan(radians(d))) AS u2, radians(c-a) AS l FROM sg, q WHERE a<>c OR b<>d),
+ it(fid, part, f, u1, u2, l, n, lam) AS (SELECT fid, part, f, u1, u2, l, 0, l FROM u UNION ALL
+  SELECT fid, part, f, u1, u2, l, n+1, l+(1-k)*f*sa*(sigma+k*ss*(cm+k*cs*(2*cm*cm-1))) FROM (
+   SELECT *, f/16*ca2*(4+f*(4-3*ca2)) AS k FROM (SELECT *, CASE WHEN ca2>0 THEN cs-2*sin(u1)*sin(u2)/ca2 ELSE 0 END AS cm FROM (
+    SELECT *, 1-sa*sa AS ca2 FROM (SELECT *, atan2(ss, cs) AS sigma, cos(u1)*cos(u2)*sin(lam)/ss AS sa FROM (
+     SELECT *, sqrt(pow(cos(u2)*sin(lam), 2)+pow(cos(u1)*sin(u2)-sin(u1)*cos(u2)*cos(lam), 2)) AS ss, sin(u1)*sin(u2)+cos(u1)*cos(u2)*cos(lam) AS cs FROM it WHERE n<12)))))),
+ en AS (SELECT *, 1+w/16384*(4096+w*(w*(320-175*w)-768)) AS big, w/1024*(256+w*(w*(74-47*w)-128)) AS small FROM (SELECT *, ca2*{(6378137.0**2 - _B**2) / _B**2!r} AS w FROM (
+   SELECT *, CASE WHEN ca2>0 THEN cs-2*sin(u1)*sin(u2)/ca2 ELSE 0 END AS cm FROM (SELECT *, 1-sa*sa AS ca2 FROM (SELECT *, atan2(ss, cs) AS sigma, cos(u1)*cos(u2)*sin(lam)/ss AS sa FROM (
+     SELECT *, sqrt(pow(cos(u2)*sin(lam), 2)+pow(cos(u1)*sin(u2)-sin(u1)*cos(u2)*cos(lam), 2)) AS ss, sin(u1)*sin(u2)+cos(u1)*cos(u2)*cos(lam) AS cs FROM it WHERE n=12)))))),
+ ln AS (SELECT fid, SUM({_B!r}*big*(sigma-small*ss*(cm+small/4*(cs*(2*cm*cm-1)-small/6*cm*(4*ss*ss-3)*(4*cm*cm-3))))) AS metres FROM en GROUP BY 1)
+SELECT x.fid, ROUND(coalesce(metres, 0), 3) AS metres FROM fx_lines x LEFT JOIN ln USING (fid)""",
+    "fx_lines",
+    recursive=True,
+)

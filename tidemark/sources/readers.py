@@ -92,7 +92,7 @@ def raster_files(cells: DataFrame, keys: list[str], bands: list[str], affine: tu
     dealt = cells.select(*keys, F.floor(F.col("r") / tile).cast("long").alias("tr"), F.floor(F.col("c") / tile).cast("long").alias("tc"), "r", "c", *[F.col(b).cast("float").alias(b) for b in bands])
     n = len(keys)
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
         tr, tc = int(key[n]), int(key[n + 1])
@@ -210,7 +210,7 @@ def geopackage_files(nodes: DataFrame, edges: DataFrame, node_columns: dict[str,
     n = nodes.select("country", F.struct(*node_columns, "x", "y").alias("row")).groupBy("country")
     e = edges.select("country", F.struct(*edge_columns, "coords").alias("row")).groupBy("country")
 
-    def build(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         points = [(*[r[c] for c in node_columns], [[(r["x"], r["y"])]]) for r in left["row"]] if len(left) else []
         lines = [(*[r[c] for c in edge_columns], [[(p["x"], p["y"]) for p in r["coords"]]]) for r in right["row"]] if len(right) else []
         data = geopackage.write({"nodes": (list(node_columns.items()), points, True), "edges": (list(edge_columns.items()), lines, False)})
