@@ -51,3 +51,12 @@ def test_hard_rows(spark, small):
     assert P.with_next(cases.empty(spark)).count() == 0
     one = spark.createDataFrame([(5, "abcd")], "doc_id long, text string")
     assert P.with_next(one).collect() == [(5, "abcd", "abcd")]
+
+
+def test_next_of_null_and_common_ids(spark):
+    texts = [(None, f"null {i}") for i in range(200)] + [(7, f"seven {i}") for i in range(400)] + [(i, f"text {i}") for i in range(100)] + [(9, "same")] * 5
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    rows = [(r["doc_id"], r["text"], r["mark"]) for r in docs.withColumn("mark", F.xxhash64("text")).collect()]
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+    want = sorted(((a[0], a[1], b[1]) for a, b in zip(rows, rows[1:] + rows[:1])), key=repr)
+    assert sorted(map(tuple, P.with_next(docs).collect()), key=repr) == want

@@ -34,6 +34,7 @@ def check(rows):
 
 def test_targets_are_met_and_reruns_agree(spark, monkeypatch):
     monkeypatch.setattr(M, "BLOCK_WORDS", 300)
+    monkeypatch.setattr(M, "TOGETHER", 4)
     docs = [(i, "w " * (i * 37 % 90), ("hot", "b", "c", "d", "é", None)[min(5, i % 11)]) for i in range(300)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     rows = M.mix(df.repartition(3)).collect()

@@ -60,6 +60,35 @@ def test_windows_overlap_and_spans_are_joined():
     assert P.reconciled([(5, 22, 3, 0.99)], [(5, 2, 9)], text) == []
 
 
+def test_no_added_span_lies_in_a_base_one():
+    inside = "a" + ".1.2.3" * 16 + "@example.org"
+    base = [(0, 0, 107), *[(1 + 6 * k, 1, 6 + 6 * k) for k in range(12)]]
+    assert P.reconciled([(96, 103, 1, 0.99)], base, inside.ljust(107)) == []
+
+
+def test_added_spans_of_labelled_documents(model, contexts):
+    """Documents with spelled-out values, each labelled, and as many without any."""
+    rng = np.random.default_rng(21)
+    texts, labels = [], []
+    for k in range(240):
+        context = contexts[120 + k % (len(contexts) - 120)]
+        value = P._spelled(k % 4, rng)
+        cut = context.find(" ", len(context) // 2) + 1
+        texts += [context[:cut] + value + " " + context[cut:], context]
+        labels += [(cut, k % 4, cut + len(value)), None]
+    base = [P.base_spans(t) for t in texts]
+    added = P.added_spans(model, texts, base)
+    hit = sum(any(s < want[2] and e > want[0] and k == want[1] for s, k, e in got) for got, want in zip(added, labels, strict=True) if want)
+    good = sum(bool(want) and s < want[2] and e > want[0] for got, want in zip(added, labels, strict=True) for s, k, e in got)
+    print("recall", hit / 240, "precision", good / max(1, sum(map(len, added))))
+    assert hit / 240 >= 0.6 and good / sum(map(len, added)) >= 0.9
+
+
+def test_triggers_of_other_scripts():
+    assert P.windows("plain words only") == [] and P.windows("call \u0661\u0662\u0663") and P.windows("jane at example dot com") and P.windows("jane {at} example.com")
+    assert P._ascii("\uff11\u0662x\uff20") == "12x@" and len(P._ids("\uff11\U0001f600")) == 2
+
+
 def test_hard_rows(spark, model):
     found = P.find(cases.table(spark), model).collect()
     assert len(found) == len(cases.rows())

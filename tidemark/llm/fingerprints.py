@@ -9,8 +9,8 @@ it out of its three cells peels the rest.
 
 The fingerprint is the sketch with CELLS cells, as text. Two documents are compared by it;
 if it cannot be peeled, by larger ones with other hashes: with room for what its counts
-suggest, then for every digest of both, then for twice that (in groups of GROUP digests by
-digest, so that long documents stay linear). What even that leaves, with odds of less than
+suggest, then for every digest of both, then for twice that (in groups of about GROUP digests by
+digest, found in two steps: work grows as the digests times the root of their number). What even that leaves, with odds of less than
 one in a million, is counted by set difference. Likeness is the share of common paragraphs among all of both: 1 for equal
 texts and for two without a paragraph.
 
@@ -134,13 +134,18 @@ def compare(rows: DataFrame, left: str, right: str, name: str) -> DataFrame:
     every = (F.size(a) + F.size(b)).cast("double")
     for salt, most in ((1, F.least(F.col("_guess"), every)), (2, every), (3, 2 * every)):
         todo = ~F.col(f"{name}.ok")
-        groups = F.greatest(F.lit(1), F.ceil(every / GROUP)).cast("long")
+        wide = F.ceil(F.sqrt(F.ceil(F.greatest(every, F.lit(1.0)) / GROUP))).cast("long")
+        groups = wide * F.ceil(F.ceil(F.greatest(every, F.lit(1.0)) / GROUP) / wide).cast("long")
         room = F.ceil(most / groups * (ROOM / 3) + 4).cast("long")
-        rows = rows.withColumn("_n", F.when(todo, groups)).withColumn("_size", F.when(todo, room))
+        rows = rows.withColumns({"_n": F.when(todo, groups), "_wide": F.when(todo, wide), "_size": F.when(todo, room)})
 
         def dealt(keys: Column) -> Column:
-            split = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda g: F.filter(keys, lambda k: F.pmod(k, F.col("_n")) == g))
-            return F.when(F.col("_n") == 1, F.array(keys)).otherwise(split)
+            upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+            group = lambda k: F.pmod(k, F.col("_n"))
+            # By rows of groups first, then by groups of a row: no key is looked at for each group.
+            rough = F.transform(upto(F.floor(F.col("_n") / F.col("_wide"))), lambda r: F.filter(keys, lambda k: F.floor(group(k) / F.col("_wide")) == r))
+            fine = F.transform(rough, lambda some: F.transform(upto(F.col("_wide")), lambda c: F.filter(some, lambda k: F.pmod(group(k), F.col("_wide")) == c)))
+            return F.when(F.col("_n") == 1, F.array(keys)).otherwise(F.flatten(fine))
 
         rows = rows.withColumns({"_a": dealt(a), "_b": dealt(b)})
         rows = rows.withColumns({c: F.transform(c, lambda keys: sketch(keys, F.col("_size"), salt)) for c in ("_a", "_b")})  # noqa: B023
@@ -151,7 +156,7 @@ def compare(rows: DataFrame, left: str, right: str, name: str) -> DataFrame:
             F.flatten(F.transform("_parts", lambda p: p["left"])).alias("left"),
             F.flatten(F.transform("_parts", lambda p: p["right"])).alias("right"),
         )
-        rows = rows.withColumn(name, F.when(todo, joined).otherwise(F.col(name))).drop("_parts", "_n", "_size")
+        rows = rows.withColumn(name, F.when(todo, joined).otherwise(F.col(name))).drop("_parts", "_n", "_wide", "_size")
     exact = F.struct(F.lit(True).alias("ok"), F.array_except(a, b).alias("left"), F.array_except(b, a).alias("right"))
     return rows.withColumn(name, F.when(F.col(f"{name}.ok"), F.col(name)).otherwise(exact)).drop("_guess")
 
@@ -167,29 +172,40 @@ def as_text(cells: Column) -> Column:
     return F.lower(F.array_join(F.transform(cells, lambda c: F.concat(digits(c["c"], 4), digits(c["k"], 16), digits(c["h"], 8))), ""))
 
 
+#: Parts, by hash of the text, of the rows without an id and of those of an id that is very common.
+PARTS = 64
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, next_text): the text that follows in doc_id order, the first after the last.
 
-    Documents are dealt to ranges of doc_id, many for each task; each range also gets the
-    first rows of the next one, whose ids are one number for each range.
+    Documents are dealt to ranges of doc_id, many for each task, and rows of a null or a very
+    common id to ranges of their texts' hashes, by which they are ordered; each range also gets
+    the first row of the next one, whose place is two numbers for each range.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("mark", F.xxhash64("text"))
     wide = min(2000, 8 * partitions(docs.sparkSession))
-    ids = rows.select("doc_id")
-    cuts = sorted(set(map(int, ids.approxQuantile("doc_id", [k / wide for k in range(1, wide)], 1 / (4 * wide)))))
+    ids = rows.select("doc_id", "mark")
+    quantiles = list(map(int, ids.approxQuantile("doc_id", [k / wide for k in range(1, wide)], 1 / (4 * wide))))
+    cuts = sorted(set(quantiles))
+    common = [c for c in cuts if quantiles.count(c) > 2]
     place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<long>"), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(place)
-    heads = sorted((r["bucket"], r["head"]) for r in ids.withColumn("bucket", bucket).groupBy("bucket").agg(F.min("doc_id").alias("head")).collect())
+    part = F.shiftrightunsigned(F.col("mark").bitwiseXOR(F.lit(-(1 << 63))), 58)  # 0 .. PARTS - 1, ascending
+    common = F.col("doc_id").isin(common) if common else F.lit(False)
+    # A common id is the first of its range; what follows it there comes after all its parts.
+    bucket = F.when(F.col("doc_id").isNull(), part - PARTS - 1).otherwise(place * (PARTS + 1) + F.when(common, part).otherwise(PARTS)).cast("long")
+    first = F.min(F.struct("doc_id", "mark")).alias("head")
+    heads = sorted((r["bucket"], r["head"]["doc_id"], r["head"]["mark"]) for r in ids.withColumn("bucket", bucket).groupBy("bucket").agg(first).collect())
     held = rows.withColumn("bucket", bucket).withColumn("ghost", F.lit(False))
     if heads:
-        before = [b for b, _ in heads[-1:] + heads[:-1]]
-        is_head = F.col("doc_id").isin([h for _, h in heads if h is not None])
-        if heads[0][1] is None:
-            is_head = F.coalesce(is_head, F.lit(True))
-        to = F.create_map(*[F.lit(x) for (b, _), p in zip(heads, before, strict=True) for x in (b, p)])
-        ghosts = held.where(is_head).withColumn("bucket", F.get(F.transform(F.array(to), lambda m: m[F.col("bucket")]), F.lit(0))).withColumn("ghost", F.lit(True))
-        held = held.unionByName(ghosts)
-    order = W.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+        before = [b for b, *_ in heads[-1:] + heads[:-1]]
+        to = F.create_map(*[F.lit(x) for (b, *_), p in zip(heads, before, strict=True) for x in (b, p)])
+        known = F.create_map(*[x for b, i, m in heads for x in (F.lit(b), F.struct(F.lit(i).cast("long").alias("doc_id"), F.lit(m).alias("mark")))])
+        found = F.transform(F.array(F.struct(to.alias("to"), known.alias("known"))), lambda m: F.struct(m["to"][F.col("bucket")].alias("to"), m["known"][F.col("bucket")].alias("head")))
+        ghosts = held.withColumn("next", F.get(found, F.lit(0))).where(F.col("next.head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("next.head.mark") == F.col("mark")))
+        held = held.unionByName(ghosts.select("doc_id", "text", "mark", F.col("next.to").alias("bucket"), F.lit(True).alias("ghost")))
+    order = W.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "mark")
     return held.withColumn("next_text", F.lead("text").over(order)).where("not ghost").select("doc_id", "text", "next_text")
 
 

@@ -5,8 +5,9 @@ filter over a fixed-length window of bytes, and a softmax over the learned langu
 document is cut into windows from its first byte to its last; the logits of its windows,
 weighted by their bytes, are averaged before the last softmax.
 
-Fitting uses a bounded sample of labelled rows (``per_language`` documents of each language,
-chosen by a hash of the id over all of them, WINDOWS_PER_DOC windows spread over each);
+Fitting uses a bounded sample of labelled rows (``per_language`` documents of each of the
+``most`` most frequent languages, chosen by a hash over all of them, WINDOWS_PER_DOC windows
+spread over each; a rarer language is never predicted);
 prediction reads every byte of every document and never the label, the source or the id.
 
 Nulls and texts without a letter give ``und`` with score 0; a table without labelled rows
@@ -33,6 +34,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 6
 PER_LANGUAGE = 400
+#: Languages that are learned, by frequency: bounds the sample as a whole.
+MOST = 1000
 WINDOWS_PER_DOC = 4
 EPOCHS = 6
 #: Windows that go through the network at once: bounds a worker's memory.
@@ -180,18 +183,18 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, label: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
-    """Train on at most ``per_language`` documents of each language, none of them held out.
+def fit(docs: DataFrame, label: str = "lang", per_language: int = PER_LANGUAGE, most: int = MOST) -> Model | None:
+    """Train on at most ``per_language`` documents of each of ``most`` languages, none held out.
 
-    They are those whose hashed id lies under a share set from the language's count, so
-    no language is gathered or sorted anywhere.
+    They are those whose hash lies under a share set from the language's count, so no
+    language is gathered or sorted anywhere; equal rows count once.
     """
     usable = docs.select(F.col("doc_id"), F.col("text"), F.col(label).cast("string").alias("label"))
     usable = usable.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1000).collect()
+    counts = usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most).collect()
     if not counts:
         return None
-    mark = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(1 << 30))
+    mark = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(1)), F.lit(1 << 30))
     chosen = F.lit(False)
     for row in counts:
         share = min(1.0, 1.2 * per_language / row["count"])
@@ -199,6 +202,7 @@ def fit(docs: DataFrame, label: str = "lang", per_language: int = PER_LANGUAGE)
     step = F.floor(F.length("text") / WINDOWS_PER_DOC)
     spread = F.array([F.col("text").substr((step * k + 1).cast("int"), F.lit(WINDOW)) for k in range(WINDOWS_PER_DOC)])
     sample = usable.where(chosen & F.col("text").rlike(r"\p{L}")).select("label", spread.alias("texts"), mark.alias("mark"), "doc_id")
+    sample = sample.groupBy("label", "mark", "doc_id").agg(F.min("texts").alias("texts")).limit(2 * per_language * len(counts))
     rows = sorted(sample.collect(), key=lambda r: (r["label"], r["mark"], str(r["doc_id"]), r["texts"]))
     seen: dict[str, int] = {}
     kept = []

@@ -17,8 +17,9 @@ counts of each source add up exactly on every level. A shard then takes the next
 units in each source's permuted order: the draws are disjoint. Inside a shard, documents
 are ordered by a hash, which is the local shuffle.
 
-Nothing is random but hashes of ``seed``, so reruns agree. A hot source is many blocks, and
-no window spans more than one block's documents or one source's blocks.
+Nothing is random but hashes of ``seed``, so reruns agree. A hot source is many blocks, as
+many as its words ask for; a window spans one block's documents, up to about TOGETHER blocks
+of a source, or a source's groups of them. The tree holds a number for each source in a row.
 
 Null texts have size 0 and take nothing; a null source is a source; null ids keep their row.
 Rows that repeat an id are ordered by their words too, and such full ties are each other's
@@ -38,9 +39,9 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 SHARD_LEVELS = 4
-#: Words of a block, and blocks of a source at most (beyond that, blocks are larger).
+#: Words of a block, and blocks of a source that are put in order together.
 BLOCK_WORDS = 50_000
-MAX_BLOCKS = 4096
+TOGETHER = 4096
 #: Standard deviations around the mean that a hypergeometric draw looks at.
 SPREAD = 8
 SEED = 42
@@ -178,21 +179,28 @@ def mix(
         "source_size",
         "target",
         F.round("target").cast("long").alias("goal"),
-        F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("source_size") / BLOCK_WORDS))).cast("long").alias("n_blocks"),
+        F.greatest(F.lit(1), F.ceil(F.col("source_size") / BLOCK_WORDS)).cast("long").alias("n_blocks"),
     )
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("goal") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
     goal = goal.withColumn("rounds", rounds).withColumn("missing", F.col("goal") - F.col("rounds") * F.col("source_size"))
     mark = F.xxhash64(F.lit(seed), "doc_id", "size")
     placed = sizes.select("*", key).join(goal, "key").withColumn("block", F.pmod(mark, F.col("n_blocks")))
+    order = F.xxhash64(F.lit(seed + 1), "key", "block")
+    blocks = placed.groupBy("key", "block").agg(F.sum("size").alias("block_words"), *[F.first(c).alias(c) for c in ("missing", "rounds", "n_blocks")])
+    # The order of a source's blocks is by group and then inside it, so no window holds them all.
+    blocks = blocks.select("*", F.pmod(order, F.ceil(F.col("n_blocks") / TOGETHER)).cast("long").alias("group"), order.alias("order"))
+    together = W.partitionBy("key", "group")
+    blocks = blocks.select("*", F.sum("block_words").over(together.orderBy("order", "block")).alias("until"), F.row_number().over(together.orderBy("order", "block")).alias("number"))
+    groups = blocks.groupBy("key", "group").agg(F.sum("block_words").alias("words"), F.count("*").alias("many"))
     by_source = W.partitionBy("key")
-    order = by_source.orderBy(F.xxhash64(F.lit(seed + 1), "key", "block"), "block")
-    blocks = placed.groupBy("key", "block").agg(F.sum("size").alias("block_words"), F.first("missing").alias("missing"), F.first("rounds").alias("rounds"))
-    blocks = blocks.select(
+    before = by_source.orderBy("group").rowsBetween(W.unboundedPreceding, -1)
+    groups = groups.select("key", "group", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("words_before"), F.coalesce(F.sum("many").over(before), F.lit(0)).alias("many_before"), F.sum("many").over(by_source).alias("present"))
+    blocks = blocks.join(groups, ["key", "group"]).select(
         "key",
         "block",
-        (F.sum("block_words").over(order) - F.col("block_words")).alias("block_start"),
-        (F.row_number().over(order) - 1).cast("long").alias("position"),
-        F.count("*").over(by_source).alias("present"),
+        (F.col("words_before") + F.col("until") - F.col("block_words")).alias("block_start"),
+        (F.col("many_before") + F.col("number") - 1).cast("long").alias("position"),
+        "present",
         "missing",
         "rounds",
     )

@@ -10,9 +10,10 @@ spans: values of each kind, in plain and obfuscated forms, and look-alikes witho
 written into contexts cut from a bounded sample of documents (``sample``, by hashed id).
 
 Every text is looked at as a whole: its windows, which overlap by half, cover each place
-within MARGIN characters of a digit, an ``@`` or a spelled-out one; no kind has a span
-without. Each window is decoded by itself; then spans of one kind that overlap are joined,
-and where kinds overlap the surer one stays, over the whole document.
+within MARGIN characters of a digit of any script, an ``@`` or a spelled-out one (in brackets,
+or with a spelled-out dot after it). Other text, numbers in words among it, is not decoded. Each
+window is decoded by itself; then spans of one kind that overlap are joined, and where kinds
+overlap the surer one stays, over the whole document.
 
 Null texts are empty. Offsets are code points, end exclusive; spans that start together are
 ordered as KINDS. Repeated rows each give a row; an empty table gives none, and training on
@@ -24,8 +25,10 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,7 @@ MARGIN = 32
 HIDDEN = 12
 EMBEDDING = 8
 SAMPLE = 200
-BATCHES = 160
+BATCHES = 240
 BATCH = 48
 #: Mean probability of its tags from which an added span counts.
 SURE = 0.8
@@ -54,8 +57,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[\[(] ?at ?[\])]", re.IGNORECASE | re.ASCII)
+_TRIGGER = re.compile(r"[\d@\uff20]|[\[({] ?at ?[\])}]|(?<=\s)at(?=\s[^\n]{1,40}\sdot\s)", re.IGNORECASE)
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+_AT = re.compile(r"[\[({ ] ?at ?[\])} ]", re.IGNORECASE)
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -98,8 +102,20 @@ TAGS = 1 + 2 * len(KINDS)
 PAD = 131
 
 
+@cache
+def _plain(c: str) -> str:
+    """Digits of any script and wide signs as ASCII ones."""
+    n = unicodedata.decimal(c, None)
+    return str(n) if n is not None else chr(ord(c) - 0xFEE0) if 0xFF01 <= ord(c) <= 0xFF5E else c
+
+
+def _ascii(text: str) -> str:
+    """The same number of characters."""
+    return text if text.isascii() else "".join(map(_plain, text))
+
+
 def _ids(text: str) -> np.ndarray:
-    raw = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+    raw = np.frombuffer(_ascii(text).encode("utf-32-le", "surrogatepass"), dtype="<u4")
     return np.where(raw < 128, raw, np.where(raw < 0x250, 128, np.where(raw < 0x3000, 129, 130))).astype(np.int16)
 
 
@@ -219,7 +235,7 @@ def _value(kind: int, rng: np.random.Generator) -> str:
     pick = lambda *o: o[rng.integers(len(o))]
     if kind == 0:
         local = pick(word(2, 10), f"{word(2, 7)}.{word(2, 7)}", f"{word(2, 6)}{digits(2)}", f"{word(1, 4)}.{digits(2)}")
-        at, dot = pick(("@", "."), ("@", "."), ("@", "."), (" (at) ", "."), ("[at]", " dot "), (" [at] ", " [dot] "), ("(at)", "."))
+        at, dot = pick(("@", "."), ("@", "."), ("@", "."), (" (at) ", "."), ("[at]", " dot "), (" [at] ", " [dot] "), ("(at)", "."), (" at ", " dot "))
         return local + at + pick(f"{word(3, 9)}{dot}{word(2, 4)}", f"mail{digits(1)}{dot}{word(4, 8)}{dot}com")
     if kind == 1:
         return pick(".", ".", ".", " . ", "[.]").join(str(rng.integers(0, 256)) for _ in range(4))
@@ -233,6 +249,21 @@ def _value(kind: int, rng: np.random.Generator) -> str:
     return head + pick(f"{digits(2)} {digits(3)} {digits(6)}", f"1 ({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(2)}-{digits(4)}-{digits(5)}", f"{digits(12)}", f"{digits(2)}/{digits(4)}/{digits(5)}")
 
 
+#: Zeros of other scripts whose digits count on from them, and the wide forms.
+_ZEROS = (0x660, 0x6F0, 0x966, 0xFF10)
+
+
+def _spelled(kind: int, rng: np.random.Generator) -> str:
+    """A value that the base patterns do not match."""
+    while True:
+        value = _value(kind, rng)
+        if kind and rng.random() < 0.3:
+            zero = _ZEROS[rng.integers(len(_ZEROS))]
+            value = "".join(chr(zero + int(c)) if c.isdigit() else c for c in value)
+        if not any(k == kind for _, k, _ in base_spans(value)):
+            return value
+
+
 def _lookalike(rng: np.random.Generator) -> str:
     digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     hexes = "".join("0123456789abcdef"[i] for i in rng.integers(0, 16, 40))
@@ -249,7 +280,7 @@ def example(contexts: list[str], rng: np.random.Generator) -> tuple[np.ndarray,
     while len(text) < WINDOW:
         if rng.random() < 0.6:
             kind = int(rng.integers(len(KINDS)))
-            value = _value(kind, rng)
+            value = _value(kind, rng) if rng.random() < 0.6 else _spelled(kind, rng)
             marks = [1 + 2 * kind] + [2 + 2 * kind] * (len(value) - 1)
         else:
             value = _lookalike(rng)
@@ -318,9 +349,10 @@ def windows(text: str) -> list[int]:
 
 def _plausible(kind: int, value: str) -> bool:
     """What a value of the kind holds in any spelling."""
+    value = _ascii(value)
     n = len(_NOT_DIGIT.sub("", value))
     if kind == 0:
-        return len(value) >= 6 and ("@" in value or _TRIGGER.search(value) is not None) and ("." in value or "dot" in value.lower())
+        return len(value) >= 6 and ("@" in value or _AT.search(value) is not None) and ("." in value or "dot" in value.lower())
     if kind == 1:
         parts = [p for p in _NOT_DIGIT.split(value) if p]
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -339,14 +371,18 @@ def reconciled(found: list[tuple[int, int, int, float]], base: list[Span], text:
         else:
             last[kind] = [start, end, kind, sure]
             merged.append(last[kind])
-    taken = sorted((s, e) for s, _, e in base)
+    taken: list[tuple[int, int]] = []  # apart from each other; base spans may overlap
+    for s, _, e in sorted(base):
+        if taken and s < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(taken[-1][1], e))
+        else:
+            taken.append((s, e))
     kept: list[Span] = []
     for start, end, kind, sure in sorted(merged, key=lambda s: (-s[3], s[0], s[2])):
         if sure < SURE or not _plausible(kind, text[start:end]):
             continue
-        # The taken spans of different base kinds may overlap each other, so look back a little.
         k = bisect.bisect_left(taken, (end, -1))
-        if all(e <= start for _, e in taken[max(0, k - 8) : k]):
+        if not k or taken[k - 1][1] <= start:
             bisect.insort(taken, (start, end))
             kept.append((start, kind, end))
     return kept
@@ -391,18 +427,18 @@ def said(spans: list[Span]) -> str:
 
 
 def contexts_of(docs: DataFrame, sample: int = SAMPLE) -> list[str]:
-    """At most ``sample`` pieces of text for training, from all documents by hashed id.
+    """At most ``sample`` pieces of text for training, from all documents by hash.
 
-    The count of documents sets the share of hashes to look at, so that about twice the
-    sample comes to the driver, however many documents and tasks there are.
+    The count of documents sets the share of hashes to look at; the least of them come to the
+    driver, equal rows as one.
     """
     told = docs.where("text is not null")
     share = min(1.0, 2.0 * sample / max(1, told.count()))
-    mark = F.xxhash64(F.col("doc_id"), F.lit(3))
+    mark = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(3))
     middle = F.col("text").substr(F.floor(F.length("text") / 3).cast("int"), F.lit(400))
     some = told.where(F.pmod(mark, F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    rows = some.select(mark.alias("mark"), middle.alias("piece")).collect()
-    return [r["piece"] for r in sorted(rows, key=lambda r: (r["mark"], r["piece"]))[:sample]]
+    rows = some.select(mark.alias("mark"), middle.alias("piece")).groupBy("mark").agg(F.min("piece").alias("piece"))
+    return [r["piece"] for r in rows.orderBy("mark").limit(sample).collect()]
 
 
 def find(docs: DataFrame, model: Model) -> DataFrame:
