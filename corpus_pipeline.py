@@ -45,7 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects every document, by blob, in which a rule of the ledger has a finding."""
-    found = secrets.scan(docs).known
+    found = secrets.scan(docs, None, secrets.RULES + secrets.ADDED).known
     bad = found.where(F.size("spans") > 0).select("blob").distinct()
     rows = docs.select(whole(docs), secrets.blob(F.col("text")).alias("blob"))
     return rows.join(bad, "blob", "left_anti").select("row.*")

@@ -2,8 +2,10 @@ import random
 
 import cases
 import numpy as np
+import pytest
 import xxhash
 
+from tidemark.llm import components as C
 from tidemark.llm import simhash as S
 
 
@@ -84,3 +86,26 @@ def test_hard_rows(spark, small):
         if r["doc_id"] is not None:
             assert r["fingerprint"] == f"{plain(texts[r['doc_id']]):016x}" and r["component_id"] == ids[want[ids.index(r["doc_id"])]]
     assert S.near_duplicates(cases.empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("together", [4, 30, 50_000])
+def test_components_equal_plain_search(spark, monkeypatch, together):
+    monkeypatch.setattr(C, "TASK_LINKS", together)
+    rnd = random.Random(together)
+    links = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(110)] + [(300 + i, 301 + i) for i in range(60)] + [(400, 500 + i) for i in range(40)] + [(7, 7), (1, 2), (2, 1)]
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    least = {}
+    for node in sorted(near):
+        todo = [node] if node not in least else []
+        while todo:
+            x = todo.pop()
+            if x not in least:
+                least[x] = node
+                todo += near[x]
+    frame = spark.createDataFrame([*links, (None, 5), (6, None)], "a long, b long").repartition(5)
+    found = {r["node"]: r["root"] for r in C.components(frame).collect()}
+    assert {k: found.get(k, k) for k in near} == least and all(found[k] < k or found[k] == k for k in found)
+    assert C.components(frame.where("false")).count() == 0

@@ -2,26 +2,70 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, release
+from tidemark.llm.common import checkpoint, map_arrow, release
 
 #: Rounds from which something is wrong: each at least halves the depth of the label trees.
 ROUNDS = 64
-#: Links that one task may hold: few links need few tasks, however many the session has.
+#: Links that are contracted together in a task, which bounds its memory; few links need few tasks.
 TASK_LINKS = 50_000
 
 
+def contracted(links: DataFrame, together: int) -> DataFrame:
+    """Of every ``together`` links that a task reads, the components, as (node, smallest of it):
+    no more links than before, with the same ends in reach of each other."""
+
+    def forest(held: list[tuple[int, int]]) -> pa.RecordBatch:
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            top = x
+            while (up := parent.setdefault(top, top)) != top:
+                top = up
+            while parent[x] != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        for a, b in held:
+            x, y = find(a), find(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        rows = [(x, find(x)) for x in parent]
+        rows = [r for r in rows if r[0] != r[1]]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int]] = []
+        for batch in batches:
+            held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            while len(held) >= together:
+                yield forest(held[:together])
+                held = held[together:]
+        yield forest(held)
+
+    return map_arrow(links.select("a", "b"), run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(a, b) links of any comparable type to (node, root): the smallest node reachable.
+    """(a, b) links of longs to (node, root): the smallest node reachable.
 
-    Alternating large-star and small-star steps: each node links its larger neighbours, then
-    its smaller ones, to the smallest node it knows. The number of links never grows, a hub
-    is only ever a grouping key with a partial minimum, and few rounds are needed. Null ends
-    link to nothing; repeated links and loops count once; no links give no rows.
+    Tasks contract the links that they read. Where more than one task has some, alternating
+    large-star and small-star steps follow: each node links its larger neighbours, then its
+    smaller ones, to the smallest node it knows. The number of links never grows, a hub is
+    only ever a grouping key with a partial minimum, and few rounds are needed. Null ends link
+    to nothing; repeated links and loops count once; no links give no rows.
     """
-    edges = checkpoint(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    every = checkpoint(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    n = every.count()
+    edges = checkpoint(contracted(every.coalesce(1 + n // TASK_LINKS), TASK_LINKS))
+    release(every)
+    if n < TASK_LINKS:  # one task has seen them all
+        return edges.withColumnsRenamed({"a": "node", "b": "root"})
     before = _state(edges)
     for _ in range(ROUNDS):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

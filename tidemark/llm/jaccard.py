@@ -11,9 +11,10 @@ two SimHashes of 64 bits differ in about ten bits, so the search cannot end ther
 
 What is left. All shingles have one order, with those that a sample of texts shows often at
 its end (the sample decides on speed only). Of two sets that link, the first fifths
-(``prefix``) share a shingle, so holders of the same one are candidates; sizes, the place of
-the shared shingle and the bits of the sets (their parities differ in no more places than the
-sets do) rule candidates out, each by an exact bound. The rest is verified on the whole sets.
+(``prefix``) share shingles, about a tenth of them if the sets are of one size, so holders of
+the same ones are candidates; sizes, the number of shared shingles and the bits of the sets
+(their parities differ in no more places than the sets do) rule candidates out, each by an
+exact bound. The rest is verified on the whole sets.
 A text holds a shingle once, so the rows of one shingle are no more than the texts, a small
 part of all prefixes.
 
@@ -129,12 +130,25 @@ def _sets(texts: DataFrame) -> DataFrame:
 
 
 def _possible(a: str, b: str) -> Column:
-    """Whether two holders can be 4/5 alike, if the shingle is the first that they share."""
+    """Whether two holders can be 4/5 alike, by their sizes and bits."""
     c = lambda side, name: F.col(f"{side}.{name}")
-    both = c(a, "n") + c(b, "n")
-    most = F.least(c(a, "n") - c(a, "pos"), c(b, "n") - c(b, "pos"))
     apart = reduce(Column.__add__, [F.bit_count(c(a, x).bitwiseXOR(c(b, x))) for x in LANES])
-    return (9 * most >= 4 * both) & (9 * apart <= both)
+    both = c(a, "n") + c(b, "n")
+    return (9 * F.least(c(a, "n"), c(b, "n")) >= 4 * both) & (9 * apart <= both)
+
+
+def _least_shared(a: Column, b: Column) -> Column:
+    """How many shingles of their prefixes two sets of these sizes share at least, if they are
+    4/5 alike: so many of the shared ones come before either prefix ends."""
+    shared = F.floor((4 * (a + b) + 8) / 9)
+    ends = lambda n: n - F.floor((4 * n + 4) / 5) + 1
+    return F.least(ends(a) - a, ends(b) - b) + shared
+
+
+def _enough(met: DataFrame, part: int = 1) -> DataFrame:
+    """Pairs (a, b) of (a, b, na, nb) rows, one for each shared shingle, that have enough of them."""
+    counted = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("na").alias("na"), F.min("nb").alias("nb"))
+    return counted.where(part * F.col("shared") >= _least_shared(F.col("na"), F.col("nb"))).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, names: DataFrame) -> DataFrame:
@@ -165,8 +179,8 @@ def _merge(labelled: DataFrame, links: DataFrame) -> DataFrame:
 def _class_pairs(nodes: DataFrame, distance: int) -> DataFrame:
     """Each node of a SimHash class, and the first of the class."""
     roots = simhash.classes(nodes.select("fp"), distance)
-    held = nodes.select("node", "fp", "n", F.lit(0).alias("pos"), *LANES).join(roots, "fp")
-    first = held.groupBy("root").agg(F.min(F.struct("node", "n", "pos", *LANES)).alias("y"), F.count("*").alias("many")).where("many > 1")
+    held = nodes.select("node", "fp", "n", *LANES).join(roots, "fp")
+    first = held.groupBy("root").agg(F.min(F.struct("node", "n", *LANES)).alias("y"), F.count("*").alias("many")).where("many > 1")
     return held.alias("x").join(first, "root").where((F.col("x.node") != F.col("y.node")) & _possible("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
@@ -174,19 +188,24 @@ def _star_pairs(held: DataFrame, turn: int) -> DataFrame:
     """Holders of a shingle against one of them, if of other components: CENTRES different ones
     at most for a group that has many shingles in common."""
     mark = F.xxhash64("node", F.lit(turn), F.pmod("key", F.lit(CENTRES)))
-    first = held.groupBy("key").agg(F.min_by(F.struct("node", "n", "pos", "root", *LANES), mark).alias("y"))
+    first = held.groupBy("key").agg(F.min_by(F.struct("node", "n", "root", *LANES), mark).alias("y"))
     other = (F.col("x.root") != F.col("y.root")) & _possible("x", "y")
-    return held.alias("x").join(first, "key").where(other).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    met = held.alias("x").join(first, "key").where(other).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+    return _enough(met, 2 * CENTRES)  # shingles with this centre are a part of those that are shared
 
 
 def _other_pairs(held: DataFrame) -> DataFrame:
-    """Candidates of different components: a is always of the one with fewer holders."""
+    """Candidates of different components that share enough of their prefixes: each shared
+    shingle gives a pair once."""
     stats = held.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.count("*").alias("roots")).where("roots > 1")
     marked = held.join(stats, "key")
     minor = marked.where("root <> major")
     near = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _possible("x", "y")
-    pair = lambda other, more: minor.alias("x").join(other.alias("y"), near & more).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    return pair(minor, F.col("x.node") < F.col("y.node")).unionByName(pair(marked.where("root = major"), F.lit(True))).distinct()
+    least = F.col("x.node") < F.col("y.node")
+    side = lambda c, x, y: F.when(least, F.col(x)).otherwise(F.col(y)).alias(c)
+    ends = [side("a", "x.node", "y.node"), side("b", "y.node", "x.node"), side("na", "x.n", "y.n"), side("nb", "y.n", "x.n")]
+    pair = lambda other, more: minor.alias("x").join(other.alias("y"), near & more).select(*ends)
+    return _enough(pair(minor, least).unionByName(pair(marked.where("root = major"), F.lit(True))))
 
 
 def classes(docs: DataFrame, distance: int = simhash.DISTANCE) -> DataFrame:
@@ -199,7 +218,7 @@ def classes(docs: DataFrame, distance: int = simhash.DISTANCE) -> DataFrame:
     release(own)
     labelled = checkpoint(nodes.select("node", F.col("node").alias("root")))
     labelled = _merge(labelled, _verified(_class_pairs(nodes, distance), texts, names))
-    dealt = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key")).repartition("key")
+    dealt = nodes.select("node", "n", F.explode("prefix").alias("key")).repartition("key")
     shared = dealt.withColumn("holders", F.count("*").over(W.partitionBy("key"))).where("holders > 1").drop("holders")
     held = checkpoint(shared.join(nodes.select("node", *LANES), "node"))
     release(nodes)
