@@ -7,8 +7,17 @@ from pyspark.sql import functions as F
 from tidemark.llm import fingerprints as P
 
 
+def cut(line):
+    """Without patterns: up to the first stop from LEAST on, at most MOST code points."""
+    while line:
+        stops = [k for k in range(P.LEAST, min(P.MOST, len(line)) + 1) if line[k - 1] in ".!?,;:" and (k == len(line) or line[k] in " \t\r")]
+        end = stops[0] if stops else P.MOST
+        yield line[:end]
+        line = line[end:]
+
+
 def pieces(text):
-    return {line[i : i + P.PARAGRAPH] for line in text.split("\n") for i in range(0, len(line), P.PARAGRAPH)}
+    return {p for line in text.split("\n") for p in cut(line)}
 
 
 def near(a, b):
@@ -17,7 +26,7 @@ def near(a, b):
 
 def test_query_equals_sets_of_paragraphs(spark, tmp_path):
     rnd = random.Random(2)
-    words = ["alpha", "beta", "gamma", "delta", "één", "😀"]
+    words = ["alpha", "beta", "gamma", "delta,", "één", "😀", "end.", "a.b:", "!\r"]
     docs = [(i * 7 % 31, "\n".join(" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 40))) for _ in range(rnd.randint(0, 12)))) for i in range(30)]
     docs += [(100, docs[0][1]), (101, docs[0][1]), (102, ""), (103, "\n".join(f"line {i} of a long text" for i in range(900)))]
     spark.createDataFrame(docs, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
@@ -39,6 +48,13 @@ def test_peeling_recovers_the_differing_digests(spark):
     assert sorted(r["d"]["left"]) == sorted(r["gone"]) and sorted(r["d"]["right"]) == sorted(r["come"])
 
 
+def test_a_word_in_front_leaves_later_paragraphs(spark):
+    text = " ".join(f"Sentence {i} says that {i * i % 97} is the number of things that are here." for i in range(60))
+    rows = P.fingerprints(spark.createDataFrame([(text, "And so. " + text)], "a string, b string"), "a", "b")
+    found = P.compare(rows, "a", "b", "d").select(P.likeness(F.col("a_keys"), F.col("d"))).first()[0]
+    assert found == near(text, "And so. " + text) and found > 0.8
+
+
 def test_small_sketch_peels_by_itself(spark):
     rows = P.fingerprints(spark.createDataFrame([("x\ny\nz", "x\ny\nw")], "a string, b string"), "a", "b")
     d = rows.select(P.peel(P.subtract(F.col("a_cells"), F.col("b_cells")), F.lit(4).cast("long"), 0).alias("d")).first()["d"]

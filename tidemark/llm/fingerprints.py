@@ -1,6 +1,8 @@
 r"""Document fingerprints as invertible Bloom lookup sketches, in DataFrame operations only.
 
-A document's paragraphs are its lines, long ones cut every PARAGRAPH code points; each
+A document's paragraphs are its lines; long ones are cut at the first stop (a mark before
+white space or the end) that leaves LEAST code points or more, or after MOST without one, so
+that words put in change the paragraphs up to the next stop that both versions cut at. Each
 distinct paragraph has a 64-bit digest. A sketch has three tables of cells; a digest goes to
 one cell of each, which keeps a count, the exclusive or of its digests and that of their
 check hashes. Sketches of two versions subtract cell by cell, and what both have cancels. A
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import partitions, table
 
-PARAGRAPH = 128
+LEAST, MOST = 80, 160
+#: A paragraph: of a line, up to a stop, or what there is.
+PARAGRAPH = r"[^\n]{%d,%d}?[.!?,;:](?![^ \t\r\n])|[^\n]{1,%d}" % (LEAST - 1, MOST - 1, MOST)
 CELLS = 12
 GROUP = 64
 #: Cells for one digest when a sketch has room for all of them.
@@ -46,7 +50,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """Distinct digests of a text's paragraphs."""
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\n]{1,%d}" % PARAGRAPH), F.lit(0))
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPH), F.lit(0))
     return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 
 
