@@ -44,6 +44,17 @@ def test_targets_are_met_and_reruns_agree(spark, monkeypatch):
     assert set(shards) <= set(range(2**M.SHARD_LEVELS)) and len(set(shards)) > 8
 
 
+def test_rows_without_ids_are_told_by_their_texts(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_WORDS", 20)
+    docs = [(None, f"a b {i}", "s") for i in range(100)] + [(None, None, "t")] * 50 + [(7, f"x {i}", "t") for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = M.mix(df.repartition(3), keep=("text",)).collect()
+    check(rows)
+    assert sorted(map(repr, rows)) == sorted(map(repr, M.mix(df.repartition(7), keep=("text",)).collect()))
+    places = [c["place"] for r in rows for c in r["copies"]]
+    assert len(set(places)) == len(places)
+
+
 def test_splitting_tree_is_exact_and_draws_are_hypergeometric(spark):
     quotas = spark.createDataFrame([("a", 100), ("b", 7), ("c", 0)], "key string, units long")
     ends = {r["key"]: r["shard_ends"] for r in M.splitting_tree(quotas, 3).collect()}

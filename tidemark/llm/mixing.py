@@ -5,7 +5,8 @@ they share ``share`` of all words by weight, a source stops at ``most`` times it
 and what it cannot take is shared again. That is one water level: sorted by their stop per
 weight, a prefix of the sources stops and the rest take the level times their weight.
 
-Blocks. A source's documents fall into blocks by hash, as many as its words ask for. Its
+Blocks. A source's documents fall into blocks by a hash of id and text, as many as its words
+(or its documents, if most are empty) ask for. Its
 blocks stand in a random (hashed) order, and so do the documents of a block; the source
 takes whole rounds of all its blocks and then, from the start of that order, exactly the
 words that are still missing; the document at which they end is cut.
@@ -22,7 +23,7 @@ many as its words ask for; a window spans one block's documents, up to about TOG
 of a source, or a source's groups of them. The tree holds a number for each source in a row.
 
 Null texts have size 0 and take nothing; a null source is a source; null ids keep their row.
-Rows that repeat an id are ordered by their words too, and such full ties are each other's
+Rows that share an id, or have none, are told by their texts; full ties are each other's
 equals. Sources without words have target 0. An empty table gives no rows; other columns are
 not read.
 """
@@ -53,13 +54,13 @@ def words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(source, size) rows to source, source_size, target: one row for each source."""
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    """(source, size) rows to source, source_size, documents, target: one row for each source."""
+    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
     # One row for each source from here on, so these windows hold metadata, not documents.
     rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
     stop = F.col("source_size") * F.lit(float(most))
-    known = sources.select("source", "source_size", weight.alias("weight"), stop.alias("stop")).withColumn("ratio", F.col("stop") / F.col("weight"))
+    known = sources.select("source", "source_size", "documents", weight.alias("weight"), stop.alias("stop")).withColumn("ratio", F.col("stop") / F.col("weight"))
     every = W.partitionBy(F.lit(0))
     before = every.orderBy("ratio", "weight", F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
     level = known.select(
@@ -71,7 +72,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     # The first source, in this order, whose stop is not below the level sets it for the rest.
     here = (F.col("total") - F.col("stopped")) / F.col("open")
     water = F.min(F.when(here <= F.col("ratio"), F.struct("ratio", here.alias("level")))).over(every)["level"]
-    return level.select("source", "source_size", F.least(F.col("stop"), F.col("weight") * F.coalesce(water, F.lit(float("inf")))).alias("target"))
+    return level.select("source", "source_size", "documents", F.least(F.col("stop"), F.col("weight") * F.coalesce(water, F.lit(float("inf")))).alias("target"))
 
 
 def _uniform(*on: Column) -> Column:
@@ -172,19 +173,19 @@ def mix(
     ``keep`` names further columns to carry along.
     """
     own = [F.col(c) for c in keep]
-    sizes = checkpoint(docs.select("doc_id", "source", words(F.col("text")).alias("size"), *own))
+    mark = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("mark")
+    sizes = checkpoint(docs.select("doc_id", "source", words(F.col("text")).alias("size"), mark, *own))
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("key")
     goal = targets(sizes, weights, share, most).select(
         key,
         "source_size",
         "target",
         F.round("target").cast("long").alias("goal"),
-        F.greatest(F.lit(1), F.ceil(F.col("source_size") / BLOCK_WORDS)).cast("long").alias("n_blocks"),
+        F.greatest(F.lit(1), F.ceil(F.greatest("source_size", "documents") / BLOCK_WORDS)).cast("long").alias("n_blocks"),
     )
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("goal") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
     goal = goal.withColumn("rounds", rounds).withColumn("missing", F.col("goal") - F.col("rounds") * F.col("source_size"))
-    mark = F.xxhash64(F.lit(seed), "doc_id", "size")
-    placed = sizes.select("*", key).join(goal, "key").withColumn("block", F.pmod(mark, F.col("n_blocks")))
+    placed = sizes.select("*", key).join(goal, "key").withColumn("block", F.pmod("mark", F.col("n_blocks")))
     order = F.xxhash64(F.lit(seed + 1), "key", "block")
     blocks = placed.groupBy("key", "block").agg(F.sum("size").alias("block_words"), *[F.first(c).alias(c) for c in ("missing", "rounds", "n_blocks")])
     # The order of a source's blocks is by group and then inside it, so no window holds them all.
@@ -206,7 +207,7 @@ def mix(
     )
     units = blocks.groupBy("key").agg((F.first("rounds") * F.first("present") + F.sum((F.col("block_start") < F.col("missing")).cast("long"))).alias("units"))
     blocks = blocks.drop("missing", "rounds").join(splitting_tree(units, levels, seed), "key")
-    inside = W.partitionBy("key", "block").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id", "size"), "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("key", "block").orderBy(F.xxhash64(F.lit(seed + 2), "mark"), "mark", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     found = placed.join(blocks, ["key", "block"]).withColumn("at", F.col("block_start") + F.sum("size").over(inside) - F.col("size"))
     found = found.withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("missing") - F.col("at"))))
 
@@ -214,7 +215,7 @@ def mix(
         unit = turn * F.col("present") + F.col("position")
         shard = F.size(F.filter("shard_ends", lambda e: e <= unit))
         taken = F.when(turn < F.col("rounds"), F.col("size")).otherwise(F.col("extra"))
-        return F.struct(shard.alias("shard"), taken.alias("words"), F.xxhash64(F.lit(seed + 3), F.col("doc_id"), turn).alias("place"))
+        return F.struct(shard.alias("shard"), taken.alias("words"), F.xxhash64(F.lit(seed + 3), F.col("mark"), turn).alias("place"))
 
     turns = F.sequence(F.lit(0).cast("long"), F.col("rounds"))
     copies = F.filter(F.transform(turns, copy), lambda c: c["words"] > 0)
