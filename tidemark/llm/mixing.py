@@ -184,7 +184,8 @@ def mix(
         F.greatest(F.lit(1), F.ceil(F.greatest("source_size", "documents") / BLOCK_WORDS)).cast("long").alias("n_blocks"),
     )
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("goal") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
-    goal = goal.withColumn("rounds", rounds).withColumn("missing", F.col("goal") - F.col("rounds") * F.col("source_size"))
+    # A table of its own, of known size: documents meet it by a broadcast if it is small.
+    goal = checkpoint(goal.withColumn("rounds", rounds).withColumn("missing", F.col("goal") - F.col("rounds") * F.col("source_size")))
     placed = sizes.select("*", key).join(goal, "key").withColumn("block", F.pmod("mark", F.col("n_blocks")))
     order = F.xxhash64(F.lit(seed + 1), "key", "block")
     blocks = placed.groupBy("key", "block").agg(F.sum("size").alias("block_words"), *[F.first(c).alias(c) for c in ("missing", "rounds", "n_blocks")])
@@ -208,7 +209,8 @@ def mix(
     units = blocks.groupBy("key").agg((F.first("rounds") * F.first("present") + F.sum((F.col("block_start") < F.col("missing")).cast("long"))).alias("units"))
     blocks = blocks.drop("missing", "rounds").join(splitting_tree(units, levels, seed), "key")
     inside = W.partitionBy("key", "block").orderBy(F.xxhash64(F.lit(seed + 2), "mark"), "mark", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    found = placed.join(blocks, ["key", "block"]).withColumn("at", F.col("block_start") + F.sum("size").over(inside) - F.col("size"))
+    # Dealt by block, else a window would take rows dealt by source as they are: a hot one in one task.
+    found = placed.repartition("key", "block").join(blocks, ["key", "block"]).withColumn("at", F.col("block_start") + F.sum("size").over(inside) - F.col("size"))
     found = found.withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("missing") - F.col("at"))))
 
     def copy(turn: Column) -> Column:
