@@ -3,6 +3,7 @@ import random
 import cases
 import corpus_pipeline as C
 
+from tidemark.llm import jaccard as J
 from tidemark.llm import simhash as S
 
 
@@ -71,3 +72,13 @@ def test_texts_that_share_a_doc_id_are_judged_alone(spark):
     docs = spark.createDataFrame([(1, near), (5, near), (5, clean), (5, clean), (None, near)], "doc_id long, text string")
     got = sorted(map(tuple, C.near_dedup(spark, docs, "").collect()), key=repr)
     assert got == [(1, near), (5, clean), (None, near)]
+
+
+def test_a_shingle_is_common_by_its_holders_not_by_their_share(spark, monkeypatch):
+    monkeypatch.setattr(J, "SAMPLE", 1)
+    line = "a line that some few share"
+    texts = [f"w{i} x{i} y{i} z{i} v{i} " + (line if i % 300 == 0 else f"u{i}") for i in range(2000)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    common, counts = J._common(J._texts(docs))
+    own = set(J.shingles(line).tolist())
+    assert own <= set(common.tolist()) and set(counts.tolist()) == {7}

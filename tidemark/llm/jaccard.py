@@ -44,10 +44,11 @@ from tidemark.llm.simhash import fold, hashes
 
 SHINGLE = 5
 SEED = 42
-#: One text of so many, and the share of them from which a shingle is common.
-SAMPLE, OFTEN = 64, 0.004
+#: One text of so many, and how many of them make a shingle common: a number, no share, so that
+#: the holders of a shingle that is not are no more in a larger table.
+SAMPLE, LEAST = 16, 3
 #: Common shingles at most; more are ordered like rare ones.
-COMMON = 200_000
+COMMON = 500_000
 LANES = [f"b{i}" for i in range(4)]
 #: Texts that a dense group is held against in a turn; turns go on while they find more links
 #: than one for so many texts.
@@ -87,8 +88,7 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each).view(np.int64))], names=["key"]) if each else pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["key"])
 
     some = texts.where(F.pmod("mark", F.lit(SAMPLE)) == 0).dropDuplicates(["mark"])
-    least = max(3, int(some.select("mark").count() * OFTEN))
-    rows = map_arrow(some, run, "key long").groupBy("key").count().where(F.col("count") >= least).orderBy(F.desc("count"), "key").limit(COMMON).toArrow()
+    rows = map_arrow(some, run, "key long").groupBy("key").count().where(F.col("count") >= LEAST).orderBy(F.desc("count"), "key").limit(COMMON).toArrow()
     keys, counts = rows.column(0).to_numpy().astype(np.int64).view(np.uint64), rows.column(1).to_numpy()
     order = np.argsort(keys)
     return keys[order], counts[order]
