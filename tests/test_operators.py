@@ -296,3 +296,12 @@ def test_a_crowded_search_of_fractions_and_zeros():
             a = dict(zip(*graph._sparse_search(src, first.tolist(), to.tolist(), cost.tolist(), limit), strict=True))
             b = dict(zip(*[x.tolist() for x in graph._dense_search(src, first, to, cost, limit)], strict=True))
             assert a == b
+
+
+def test_cells_under_lines_are_not_gathered_on_the_driver(spark):
+    lines = spark.createDataFrame([(1, 0, 0, 3, 2), (2, 5, 5, 5, 5)], "fid long, c0 long, r0 long, c1 long, r1 long")
+    cells = spark.createDataFrame([(9, 0, 0, 1.0), (9, 2, 3, 3.0), (8, 2, 3, 4.0)], "event long, r long, c long, days double")
+    top, per = raster.zonal_max(lines, cells, "days"), raster.zonal_max(lines, cells, "days", ["event"])
+    assert got(top) == [(1, 4.0), (2, 0.0)] and got(per) == [(1, 8, 4.0), (1, 9, 3.0)]
+    for found in (top, per):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -97,11 +97,15 @@ def zonal_max(lines: DataFrame, cells: DataFrame, value: str, by: Sequence[str]
     keys, by = list(keys), list(by)
     under = line_cells(lines, *keys, "fid") if under is None else under
     some = cells.where(valid(F.col(value))) if not by else cells.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    met = under.join(some, [*keys, "r", "c"])
+    if not by:
+        some = some.groupBy(*keys, "r", "c").agg(F.max(value).alias(value))
+    # What a line explodes to is not in a plan's estimates: the cells of many lines would be
+    # gathered on the driver to be sent around.
+    met = under.hint("merge").join(some, [*keys, "r", "c"])
     if by:
         return met.groupBy(*keys, "fid", *by).agg(F.max(value).alias(value))
     top = met.groupBy(*keys, "fid").agg(F.max(value).alias(value))
-    return lines.select(*keys, "fid").join(top, [*keys, "fid"], "left").select(*keys, "fid", F.coalesce(value, F.lit(0)).alias(value))
+    return lines.select(*keys, "fid").hint("merge").join(top, [*keys, "fid"], "left").select(*keys, "fid", F.coalesce(value, F.lit(0)).alias(value))
 
 
 def worst(values: DataFrame, key: str, what: str, value: str) -> DataFrame:
