@@ -194,3 +194,14 @@ def test_graph_to_geopackage_files(spark):
     assert geopackage.rows(files["AAA"], "nodes")[1] == [(1, 5, [[(1.0, 2.0)]])]
     assert geopackage.rows(files["AAA"], "edges")[1] == [(1, 3.5, [[(0.0, 0.0), (1.0, 2.0)]])]
     assert geopackage.rows(files["BBB"], "edges")[1] == []
+
+
+def test_a_large_graph_becomes_several_files(spark):
+    nodes = spark.range(90).selectExpr("if(id < 80, 'A', 'B') as country", "id as osmid", "cast(id as double) as x", "0.5D as y")
+    edges = spark.range(200).selectExpr("if(id < 190, 'A', 'B') as country", "cast(id as double) as length", "array(named_struct('x', 0.0D, 'y', 0.0D), named_struct('x', cast(id as double), 'y', 1.0D)) as coords")
+    made = readers.geopackage_files(nodes, edges, {"osmid": "INTEGER"}, {"length": "REAL"}, rows=50).collect()
+    count = lambda f, layer: [r[1] for r in geopackage.rows(bytes(f["content"]), layer)[1]]
+    assert sorted((f["country"], f["part"]) for f in made) == [("A", 0), ("A", 1), ("A", 2), ("A", 3), ("B", 0)]
+    assert sorted(x for f in made for x in count(f, "nodes")) == list(range(90))
+    assert sorted(x for f in made for x in count(f, "edges")) == list(range(200))
+    assert max(len(count(f, "edges")) for f in made) < 90

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions.geodesic import geodesic_length
-from tidemark.functions.lineage import folder
+from tidemark.functions.lineage import checkpoint, folder
 from tidemark.operators import catalog, graph, nearest, raster, update
 from tidemark.plans.fixtures import load, oracle
 from tidemark.sources import readers
@@ -613,11 +613,13 @@ def geopackage_round_trip(t: Tables) -> DataFrame:
     nodes = t.fx_nodes.select(country, F.col("fid").alias("osmid"), "pop", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     point = F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), F.struct(F.col("u").cast("double").alias("x"), F.col("v").cast("double").alias("y")))
     edges = t.fx_edges.select(F.concat(F.lit("C"), F.col("u") % 3).alias("country"), F.col("length").cast("double").alias("length"), point.alias("coords"))
-    files = readers.geopackage_files(nodes, edges, {"osmid": "INTEGER", "pop": "INTEGER"}, {"length": "REAL"}).withColumnRenamed("country", "path")
+    files = readers.geopackage_files(nodes, edges, {"osmid": "INTEGER", "pop": "INTEGER"}, {"length": "REAL"})
+    files = checkpoint(files.select(F.concat_ws("/", "country", "part").alias("path"), "content"))
     layer = readers.vector_layer(files, {"osmid": "bigint", "pop": "bigint"}, "nodes")
     crs = readers.layer_info(files).where("layer = 'nodes'").select("path", "crs")
-    order = W.partitionBy("path").orderBy("osmid")
-    return layer.join(crs, "path").select(F.col("path").alias("country"), F.row_number().over(order).cast("long").alias("fid"), "osmid", "pop", F.col("parts")[0][0]["x"].alias("x"), F.col("parts")[0][0]["y"].alias("y"), "crs")
+    order = W.partitionBy("country").orderBy("osmid")
+    found = layer.join(crs, "path").withColumn("country", F.split("path", "/")[0])
+    return found.select("country", F.row_number().over(order).cast("long").alias("fid"), "osmid", "pop", F.col("parts")[0][0]["x"].alias("x"), F.col("parts")[0][0]["y"].alias("y"), "crs")
 
 
 @query("SELECT fid, highway, CAST(c0 AS DOUBLE) AS x0, CAST(r0 AS DOUBLE) AS y0, CAST(c1 AS DOUBLE) AS x1, CAST(r1 AS DOUBLE) AS y1, c0<>c1 OR r0<>r1 AS valid FROM fx_lines", "fx_lines")
