@@ -125,6 +125,58 @@ def test_joined_reach_by_blocks_and_by_pairs(spark):
     assert got(found) == got(graph.reach(nodes, edges, 5))
 
 
+def _crowded(spark, n=300):
+    return spark.range(40 * n).selectExpr(f"id % {n} as u", f"pmod(xxhash64(id), {n}) as v", "1 + id % 13 as length").unionByName(spark.sql("select 7000000000L as u, 5L as v, 3L as length"))
+
+
+def test_access_to_a_crowded_graph_writes_no_pairs(spark, monkeypatch):
+    n, written, write = 300, [], graph.checkpoint
+    nodes = spark.range(n).selectExpr("id as fid", "if(id % 3 = 0, id % 7, null) as evcs_num", "if(id % 5 = 0, null, id % 4) as pop")
+    nodes = nodes.unionByName(spark.sql("select explode(array(7000000000L, 900L, 901L)) as fid, 2L as evcs_num, 6L as pop"))
+
+    def counted(df):
+        out = write(df)
+        written.append(out.count())
+        return out
+
+    pairs = graph.reach(nodes.where("evcs_num is not null"), _crowded(spark), 30).join(nodes.selectExpr("fid as node", "pop"), "node").where("pop <> 0").select("src", "node", "d", "pop").collect()
+    supply = {r["fid"]: r["evcs_num"] for r in nodes.collect()}
+    total, a = {}, {}
+    f = lambda d: math.exp(-0.5 * (d / 30) ** 2)
+    for src, _, d, pop in pairs:
+        total[src] = total.get(src, 0) + pop * f(d)
+    for src, node, d, _ in pairs:
+        a[node] = a.get(node, 0) + supply[src] / total[src] * f(d)
+    want = {r["fid"]: (supply[r["fid"]] and supply[r["fid"]] / total[r["fid"]], a.get(r["fid"], 0) if r["pop"] else None) for r in nodes.collect()}
+    monkeypatch.setattr(graph, "checkpoint", counted)
+    for local in (0, graph.LOCAL_EDGES):
+        written.clear()
+        found = {r["fid"]: (r["r"], r["a"]) for r in graph.access(nodes, _crowded(spark), 30, local_edges=local).collect()}
+        assert found == {k: tuple(x if x is None else pytest.approx(x) for x in v) for k, v in want.items()}
+        assert sum(written) < len(pairs), written
+
+
+def test_a_large_crowded_graph_is_searched_whole(spark, monkeypatch):
+    nodes = spark.sql("select explode(array(0L, 1L, 299L, 900L, 7000000000L)) as fid")
+    want = got(graph.reach(nodes, _crowded(spark), 13))
+    plain = got(graph.reach(nodes, _crowded(spark).withColumn("length", F.col("length").cast("double")), 13))
+    assert want == [(s, n, int(d)) for s, n, d in plain] and len(want) > 900
+    monkeypatch.setattr(graph, "_rounds", lambda *_: pytest.fail("pair by pair"))
+    assert got(graph.reach(nodes, _crowded(spark), 13, local_edges=0)) == want
+
+
+def test_level_search_equals_one_by_one(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(graph, "GATHERED", 100)
+    for n, many, limit, low in ((50, 3000, 30, 1), (300, 4000, 12, 3), (90, 5000, 64, 20)):
+        monkeypatch.setattr(graph, "CELLS", 64 * n)
+        u, v, w = rng.integers(0, n, many), rng.integers(0, n - 5, many), rng.integers(low, limit + 1, many)
+        ids, first, to, cost = graph._indexed(u, v, w)
+        search = graph._level_search(len(ids), first[:-1], np.arange(len(ids)), to, cost.astype(np.uint8), limit)
+        for at, (found, d) in enumerate(search(np.arange(len(ids)))):
+            assert dict(zip(found.tolist(), d.tolist(), strict=True)) == dict(zip(*graph._sparse_search(at, first.tolist(), to.tolist(), cost.tolist(), limit), strict=True))
+
+
 def test_access_without_demand_or_supply(spark):
     nodes = spark.createDataFrame([(1, 2, 0), (2, None, 5), (3, 1, 0), (4, None, 7)], "fid long, evcs_num long, pop long")
     edges = spark.createDataFrame([(1, 2, 3)], "u long, v long, length int")

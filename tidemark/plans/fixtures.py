@@ -56,6 +56,12 @@ READS = {
 NUMBERED = {"fx_edges": ("fid", ["u", "v", "length", "affectDays"], "CAST(ROW_NUMBER() OVER (ORDER BY u, v, length, affectDays) AS BIGINT) AS fid, ")}
 
 
+def unnumbered(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A numbered fixture without what a window counts: nothing is written or sorted for it."""
+    _, order, window = NUMBERED[name]
+    return _sql(spark, sf_dir, name, SQL[name].replace(window, "")).select(*order)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture or a driver table."""
     if name not in SQL:

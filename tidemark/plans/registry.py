@@ -13,7 +13,7 @@ from tidemark.functions import columns as C
 from tidemark.functions.geodesic import geodesic_length
 from tidemark.functions.lineage import checkpoint, folder
 from tidemark.operators import catalog, graph, nearest, raster, update
-from tidemark.plans.fixtures import load, oracle
+from tidemark.plans.fixtures import load, oracle, unnumbered
 from tidemark.sources import readers
 from tidemark.sources.progress import Progress
 from tidemark.streaming.incremental import process_new
@@ -30,6 +30,11 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @property
+    def links(self) -> DataFrame:
+        """fx_edges without the numbers."""
+        return unnumbered(self.spark, self.sf_dir, "fx_edges")
+
     def __getattr__(self, name: str) -> DataFrame:
         return load(self.spark, self.sf_dir, name)
 
@@ -80,12 +85,12 @@ def _reach_sql(where: str = "") -> str:
 
 @query(f"WITH {_reach_sql()} SELECT src, node, d FROM reach", "fx_nodes", "fx_edges", recursive=True)
 def bounded_reach(t: Tables) -> DataFrame:
-    return graph.reach(t.fx_nodes, t.fx_edges, D0)
+    return graph.reach(t.fx_nodes, t.links, D0)
 
 
 @query(f"WITH {_reach_sql()} SELECT src, node, d FROM reach", "fx_nodes", "fx_edges", recursive=True)
 def bounded_reach_joined(t: Tables) -> DataFrame:
-    return graph.reach(t.fx_nodes, t.fx_edges, D0, local_edges=0)
+    return graph.reach(t.fx_nodes, t.links, D0, local_edges=0)
 
 
 def _access_sql(after: bool, tag: str = "") -> str:
@@ -102,7 +107,7 @@ def _access_sql(after: bool, tag: str = "") -> str:
 
 def _access(t: Tables, after: bool) -> DataFrame:
     nodes = t.fx_nodes.join(_evcs(t), "fid", "left")
-    edges = t.fx_edges
+    edges = t.links
     if after:
         nodes, edges = graph.flooded(nodes, edges, graph.hit_points(t.fx_affected))
     found = graph.access(nodes, edges, D0)
