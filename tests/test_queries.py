@@ -3,7 +3,7 @@
 import pytest
 from compare import DATA, connect, rows, sql_rows
 
-from tidemark.plans import registry
+from tidemark.plans import fixtures, registry
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +16,12 @@ def test_equals_sql(spark, con, name):
     assert rows(registry.QUERIES[name](spark, DATA).toArrow()) == sql_rows(con, registry.ORACLES[name])
 
 
+@pytest.mark.parametrize("name", ["accessibility_delta"])
+def test_search_does_not_number_edges(spark, monkeypatch, name):
+    monkeypatch.setattr(fixtures, "number", lambda *_: pytest.fail("numbered"))
+    assert registry.QUERIES[name](spark, DATA.replace("sf0.01", "sf0.001")).count() > 0
+
+
 def test_every_query_without_sql_runs(spark):
     for name in sorted(set(registry.QUERIES) - set(registry.ORACLES)):
         assert registry.QUERIES[name](spark, DATA).count() > 0, name
