@@ -16,7 +16,7 @@ def test_equals_sql(spark, con, name):
     assert rows(registry.QUERIES[name](spark, DATA).toArrow()) == sql_rows(con, registry.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", ["accessibility_delta", "bounded_reach", "accessibility_after_flood"])
+@pytest.mark.parametrize("name", ["accessibility_delta", "bounded_reach", "accessibility_after_flood", "accessibility_written_back", "bounded_reach_joined"])
 def test_search_does_not_number_edges(spark, monkeypatch, name):
     monkeypatch.setattr(fixtures, "number", lambda *_: pytest.fail("numbered"))
     assert registry.QUERIES[name](spark, DATA.replace("sf0.01", "sf0.001")).count() > 0
